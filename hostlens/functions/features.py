@@ -144,6 +144,7 @@ def with_features(
     keep_parts: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add the 22 features (and the named PARTS); a host is read trimmed and lowercased."""
+    keep_parts = tuple(p for p in PARTS if p in keep_parts or p in df.columns)
     keep = [c for c in df.columns if c not in PARTS and c not in lists.FEATURES]
     df = df.select(*keep).withColumn("_host", F.lower(F.trim(F.coalesce(host, F.lit("")))))
     df = with_host_parts(df, "_host", rules)

@@ -149,3 +149,12 @@ def with_features(
     df = df.select(*keep).withColumn("_host", F.lower(F.trim(F.coalesce(host, F.lit("")))))
     df = with_host_parts(df, "_host", rules)
     return df.select(*keep, *keep_parts, *feature_columns("_host"))
+
+
+def clean_looking() -> Column:
+    """Ordinary-looking host: no subdomain, digit or hyphen, safe ending, not free hosting."""
+    return (
+        (F.col("num_subdomain_levels") == 0) & (F.col("num_digits") == 0)
+        & (F.col("num_hyphens") == 0) & (F.col("tld_risky") == 0)
+        & (F.col("is_free_hosting") == 0) & (F.col("is_ip") == 0)
+    )

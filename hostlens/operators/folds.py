@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostlens.functions.urlshape import md5_uniform, md5_word
+from hostlens.sources.scratch import durable
 
 GRAIN = 20
 SALT_GROUPS = 100_000
@@ -45,6 +46,7 @@ def group_folds(
     sizes = df.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("n_pos")
     )
+    sizes = durable(sizes)  # one row per group, read by every step below
     all_rows = sizes.agg(F.sum("n")).scalar()
     all_groups = sizes.agg(F.count(F.lit(1))).scalar()
     is_big = F.col("n") * (GRAIN * k) >= all_rows

@@ -14,7 +14,7 @@ from hostlens.functions.lists import FREE_HOSTING_DOMAINS
 from hostlens.functions.suffix import SuffixRules
 from hostlens.operators.dedup import cap_per_group
 from hostlens.operators.folds import grouped_folds
-from hostlens.sources.scratch import broadcast_if_small
+from hostlens.sources.scratch import broadcast_if_small, durable
 
 # Names of the two sources, list and cap sizes, folds and seed.
 PRIMARY_SOURCE = "phiusiil"
@@ -118,47 +118,50 @@ def _with_validity(hosts: DataFrame, rules: SuffixRules | None) -> DataFrame:
     return parts.select(*hosts.columns, "registered_domain", ok.alias("valid"))
 
 
-def benign_hosts(
-    list_a: DataFrame,
-    list_b: DataFrame,
-    stress: DataFrame,
-    phishing_hosts: DataFrame,
-    top_n: int = TOP_N,
-    max_per_domain: int = MAX_PER_DOMAIN,
-    rules: SuffixRules | None = None,
-) -> DataFrame:
+@dataclass
+class BenignFilter:
+    """What the popular hosts are filtered by. Small lists are marked for broadcast once, after
+    a check of their size."""
+
+    top: DataFrame
+    tested: DataFrame
+    phishing: DataFrame
+    max_per_domain: int = MAX_PER_DOMAIN
+    rules: SuffixRules | None = None
+
+    @staticmethod
+    def of(
+        list_b: DataFrame, stress: DataFrame, phishing: DataFrame, top_n: int = TOP_N,
+        max_per_domain: int = MAX_PER_DOMAIN, rules: SuffixRules | None = None,
+    ) -> "BenignFilter":
+        return BenignFilter(
+            broadcast_if_small(durable(top_domains(list_b, top_n))),
+            broadcast_if_small(durable(stress_domains(stress, rules))),
+            phishing.select("hostname"), max_per_domain, rules,
+        )
+
+
+def benign_hosts(list_a: DataFrame, by: BenignFilter) -> DataFrame:
     """(hostname, registered_domain): popular hosts with a subdomain, filtered and capped."""
-    hosts = _with_validity(ranked_hosts(list_a), rules).where("valid")
-    top = broadcast_if_small(top_domains(list_b, top_n))
-    tested = broadcast_if_small(stress_domains(stress, rules))
+    hosts = _with_validity(ranked_hosts(list_a), by.rules).where("valid")
     kept = (
-        hosts.join(top, "registered_domain", "left_semi")
-        .join(tested, "registered_domain", "left_anti")
-        .join(phishing_hosts, "hostname", "left_anti")
+        hosts.join(by.top, "registered_domain", "left_semi")
+        .join(by.tested, "registered_domain", "left_anti")
+        .join(by.phishing, "hostname", "left_anti")
     )
-    capped = cap_per_group(kept, "registered_domain", ["rank", "hostname"], max_per_domain)
+    capped = cap_per_group(kept, "registered_domain", ["rank", "hostname"], by.max_per_domain)
     return capped.select("hostname", "registered_domain")
 
 
-def benign_ledger(
-    list_a: DataFrame,
-    list_b: DataFrame,
-    stress: DataFrame,
-    phishing_hosts: DataFrame,
-    top_n: int = TOP_N,
-    max_per_domain: int = MAX_PER_DOMAIN,
-    rules: SuffixRules | None = None,
-) -> DataFrame:
+def benign_ledger(list_a: DataFrame, by: BenignFilter) -> DataFrame:
     """Rows removed and remaining per step: each host is tagged with the first step that drops
     it, then one aggregate. Hosts over the cap are counted, not ranked."""
     mark = F.lit(True)
-    top = broadcast_if_small(top_domains(list_b, top_n)).withColumn("in_top", mark)
-    tested = broadcast_if_small(stress_domains(stress, rules)).withColumn("in_stress", mark)
     hosts = (
-        _with_validity(ranked_hosts(list_a), rules)
-        .join(top, "registered_domain", "left")
-        .join(tested, "registered_domain", "left")
-        .join(phishing_hosts.select("hostname", mark.alias("in_phishing")), "hostname", "left")
+        _with_validity(ranked_hosts(list_a), by.rules)
+        .join(by.top.withColumn("in_top", mark), "registered_domain", "left")
+        .join(by.tested.withColumn("in_stress", mark), "registered_domain", "left")
+        .join(by.phishing.withColumn("in_phishing", mark), "hostname", "left")
     )
     dropped_by = (
         F.when(~F.col("valid"), 1).when(F.col("in_top").isNull(), 2)
@@ -167,7 +170,7 @@ def benign_ledger(
     )
     tagged = hosts.select("registered_domain", dropped_by.alias("dropped_by"))
     per_domain = tagged.groupBy("registered_domain", "dropped_by").agg(F.count(F.lit(1)).alias("n"))
-    kept = F.when(F.col("dropped_by") == 99, F.least("n", F.lit(max_per_domain))).otherwise(0)
+    kept = F.when(F.col("dropped_by") == 99, F.least("n", F.lit(by.max_per_domain))).otherwise(0)
     after = [
         F.sum(F.when(F.col("dropped_by") > i, F.col("n")).otherwise(0)).alias(f"after_{i}")
         for i in range(5)
@@ -197,6 +200,7 @@ def merge_sources(primary: DataFrame, benign: DataFrame) -> MergedHosts:
         F.min("label").alias("label"), F.max("label").alias("max_label"),
         F.min("priority").alias("priority"), F.count(F.lit(1)).alias("rows"),
     )
+    per_host = durable(per_host)  # read by the ledger, the folds and the split
     clean = F.col("label") == F.col("max_label")
     source = F.when(F.col("priority") == 0, PRIMARY_SOURCE).otherwise(BENIGN_SOURCE)
     counts = per_host.agg(
@@ -231,12 +235,12 @@ def build_dataset(
     rules: SuffixRules | None = None,
 ) -> Dataset:
     """Clean, add the benign list, merge and split; fold 0 is the test set."""
-    summary = host_summary(raw, order)
+    summary = durable(host_summary(raw, order))  # the raw URLs are read once
     primary = with_registered_domain(clean_hosts(summary), rules=rules)
     phishing = primary.where(F.col("label") == 1).select("hostname")
-    lists = (list_a, list_b, stress, phishing, top_n, max_per_domain, rules)
-    merged = merge_sources(primary, benign_hosts(*lists))
-    ledger = clean_ledger(summary).unionByName(benign_ledger(*lists)).unionByName(merged.ledger)
+    by = BenignFilter.of(list_b, stress, phishing, top_n, max_per_domain, rules)
+    merged = merge_sources(primary, benign_hosts(list_a, by))
+    ledger = clean_ledger(summary).unionByName(benign_ledger(list_a, by)).unionByName(merged.ledger)
     rows = grouped_folds(merged.rows, "registered_domain", "label", folds, seed)
     split = F.when(F.col("fold") == 0, "test").otherwise("train")
     return Dataset(rows.withColumn("split", split), ledger)

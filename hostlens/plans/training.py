@@ -79,32 +79,45 @@ class SublinearCounts(
         return dataset.withColumn(self.getOutputCol(), log_counts(F.col(self.getInputCol())))
 
 
-def fit_ngram(
-    train: DataFrame, min_df: int = MIN_DF, max_ngrams: int = MAX_NGRAMS,
-    iterations: int = LR_ITERATIONS,
-) -> PipelineModel:
-    """tf-idf of character n-grams and a class-balanced, L2-regularized logistic regression.
-
-    The vocabulary is refit on the rows given. The penalty weighs like 1 per data set: the mean
-    loss over n rows takes 1/n.
-    """
+def ngram_steps(
+    hosts: DataFrame, min_df: int = MIN_DF, max_ngrams: int = MAX_NGRAMS
+) -> list[Transformer]:
+    """Hostname to tf-idf vector `_unit`, with the vocabulary and weights of the hosts given."""
     # Behind a one-row inline: a Python function cannot share an expression with lambdas.
     once = f"inline(array(struct({ngram_sql()} AS _grams)))"
     grams = SQLTransformer(statement=f"SELECT *, {once} FROM __THIS__")
-    tokens = grams.transform(train.select("hostname", F.col("label").cast("double")))
+    tokens = grams.transform(hosts.select("hostname"))
     vocabulary = CountVectorizer(
         inputCol="_grams", outputCol="_counts", minDF=min_df, vocabSize=max_ngrams
     ).fit(tokens)
-    counted = vocabulary.transform(tokens)
     # At most max_ngrams weights. Smooth idf plus one, so an n-gram of every host keeps weight.
+    counted = vocabulary.transform(tokens)
     idf = IDF(inputCol="_counts", outputCol="_idf").fit(counted).idf.toArray() + 1.0
-    steps = [
+    return [
         grams,
         vocabulary,
         SublinearCounts(inputCol="_counts", outputCol="_tf"),
         ElementwiseProduct(inputCol="_tf", outputCol="_tfidf", scalingVec=Vectors.dense(idf)),
         Normalizer(inputCol="_tfidf", outputCol="_unit", p=2.0),
     ]
+
+
+def ngram_weights(steps: list[Transformer]) -> DataFrame:
+    """(gram, weight) of fitted steps: at most max_ngrams rows."""
+    rows = list(zip(steps[1].vocabulary, steps[3].getScalingVec().toArray().tolist()))
+    return SparkSession.active().createDataFrame(rows, "gram STRING, weight DOUBLE")
+
+
+def fit_ngram(
+    train: DataFrame, min_df: int = MIN_DF, max_ngrams: int = MAX_NGRAMS,
+    iterations: int = LR_ITERATIONS,
+) -> PipelineModel:
+    """tf-idf of character n-grams and a class-balanced, L2-regularized logistic regression.
+
+    The vocabulary is refit on the rows given. The penalty weighs like 1 per data set: the mean
+    loss over n rows takes 1/n.
+    """
+    steps = ngram_steps(train, min_df, max_ngrams)
     size = train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()  # two rows
     n = sum(r.n for r in size)
     weight = F.lit(0.0)

@@ -16,6 +16,8 @@ PREDICTION_LOG = (
 )
 DELAYED_LABELS = "request_id STRING, day INT, label INT"
 
+# Fixed value: log times keep their microseconds.
+LOG_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 LOG_COLUMNS = tuple(part.split()[0] for part in PREDICTION_LOG.split(", "))
 
 
@@ -33,7 +35,7 @@ def read_ranked(
 
 
 def read_prediction_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PREDICTION_LOG).json(path, mode="FAILFAST")
+    return spark.read.schema(PREDICTION_LOG).json(path, mode="FAILFAST", timestampFormat=LOG_TIME)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -47,7 +49,7 @@ def write_split(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def append_prediction_log(scored: DataFrame, path: str) -> None:
     """Append JSON lines with the log columns only: a URL never reaches the log."""
-    log_rows(scored).write.mode("append").json(path)
+    log_rows(scored).write.mode("append").json(path, timestampFormat=LOG_TIME)
 
 
 def log_rows(scored: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.data_queries import dataset
-from checks.registry import query
+from checks.registry import query, shared
 from checks.sqlparts import oracle, r9
 from hostlens.functions.features import with_features
 from hostlens.operators import metrics
@@ -21,19 +21,8 @@ from hostlens.sources.scratch import durable, scratch_path
 SMALL = {"trees": 4, "depth": 3, "iterations": 30}
 K = 3
 
-_tables: dict = {}
-
-
-def _cached(name, spark, sf, build):
-    """Tables and models shared by the queries of one session."""
-    key = (name, sf, spark.sparkContext.applicationId)
-    if key not in _tables:
-        _tables[key] = build()
-    return _tables[key]
-
-
 def rows(spark, sf):
-    return _cached("rows", spark, sf, lambda: durable(dataset(spark, sf).rows))
+    return shared("rows", spark, sf, lambda: durable(dataset(spark, sf).rows))
 
 
 def folded(spark, sf):
@@ -41,15 +30,15 @@ def folded(spark, sf):
         train = rows(spark, sf).where("split = 'train'").drop("fold")
         return durable(with_features(grouped_folds(train, "registered_domain", "label", K)))
 
-    return _cached("folded", spark, sf, build)
+    return shared("folded", spark, sf, build)
 
 
 def champion(spark, sf):
-    return _cached("champion", spark, sf, lambda: tr.train_champion(folded(spark, sf), k=K, **SMALL))
+    return shared("champion", spark, sf, lambda: tr.train_champion(folded(spark, sf), k=K, **SMALL))
 
 
 def comparison(spark, sf):
-    return _cached(
+    return shared(
         "comparison", spark, sf,
         lambda: tr.compare_models(rows(spark, sf), fx.stress(spark), K, **SMALL),
     )

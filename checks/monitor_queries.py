@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import query
+from checks.registry import query, shared
 from checks.sqlparts import CHECKS, oracle, r9
 from hostlens.functions.lists import FEATURES
 from hostlens.operators import drift, estimation
@@ -22,8 +22,11 @@ def _reference(spark, sf):
 
 
 def _monitor(spark, sf):
-    rows = durable(fx.scored_features(spark, sf))
-    return mon.monitor(rows.where("NOT is_reference"), rows.where("is_reference"), fx.THRESHOLD)
+    def build():
+        rows = durable(fx.scored_features(spark, sf))
+        return mon.monitor(rows.where("NOT is_reference"), rows.where("is_reference"), fx.THRESHOLD)
+
+    return shared("monitor", spark, sf, build)
 
 
 def _cols(*names):

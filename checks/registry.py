@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
+_shared: dict = {}
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -33,10 +34,19 @@ def tidy(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         c, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
         if kind in ("double", "float"):
-            c = F.round(c, 9) + F.lit(0.0)
+            # The offset takes exact ties the same way in both engines.
+            c = F.round(c + F.lit(1e-12), 9) + F.lit(0.0)
         elif kind == "timestamp":
             c = c.cast("timestamp_ntz")  # SQL side: plain timestamps
         elif kind.startswith("array<string"):
             c = F.array_join(c, ", ")
         out.append(c.alias(field.name))
     return df.select(*out)
+
+
+def shared(name: str, spark: SparkSession, sf_dir: str, build: Callable):
+    """A table or model that several queries of one session use."""
+    key = (name, sf_dir, spark.sparkContext.applicationId)
+    if key not in _shared:
+        _shared[key] = build()
+    return _shared[key]

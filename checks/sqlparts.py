@@ -18,7 +18,7 @@ def text_set(values) -> str:
 
 
 def r9(expr: str, name: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 9) + 0 AS {name}"
+    return f"round(CAST({expr} AS DOUBLE) + 1e-12::DOUBLE, 9) + 0 AS {name}"
 
 
 def word(text: str) -> str:
@@ -262,7 +262,7 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 LONG = "UNPIVOT (SELECT {by}, " + ", ".join(
-    f"{f}::DOUBLE AS {f}" for f in lists.FEATURES
+    f"round({f}::DOUBLE, 12) AS {f}" for f in lists.FEATURES
 ) + " FROM {src}) ON " + ", ".join(lists.FEATURES) + " INTO NAME feature VALUE value"
 
 KS_GRID = """

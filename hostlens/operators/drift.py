@@ -29,9 +29,11 @@ def value_counts(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows per (by, feature, value) over all features; combines before the shuffle.
 
     Feature values of hostnames take few distinct values (lengths up to 253, ratios of such,
-    entropies of short texts), so every later step works on this small table.
+    entropies of short texts), so every later step works on this small table. Rounding makes
+    one value of entropies that differ only by their order of summation.
     """
-    long = df.select(*by, *[F.col(f).cast("double").alias(f) for f in FEATURES]).unpivot(
+    values = [F.round(F.col(f).cast("double"), 12).alias(f) for f in FEATURES]
+    long = df.select(*by, *values).unpivot(
         list(by), list(FEATURES), "feature", "value"
     )
     return long.groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("n"))

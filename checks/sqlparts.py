@@ -154,8 +154,10 @@ FOLD_STEPS = """
     SELECT b.i, b.g, (list_position(p.loads, list_min(p.loads)) - 1)::INT,
       list_transform(p.loads, lambda x, j: CASE WHEN j = list_position(p.loads, list_min(p.loads)) THEN x + b.n ELSE x END)
     FROM {p}placed p JOIN {p}big b ON b.i = p.i + 1),
-  {p}lack AS (SELECT list_transform(loads, lambda x: greatest(rows / 5 - x, 0.0)) AS lack
+  {p}level AS (SELECT loads, list_min(list_transform([1, 2, 3, 4, 5],
+      lambda j: (rows - list_sum(loads) + list_sum(list_sort(loads)[1:j])) / j)) AS level
     FROM {p}placed, {p}tot WHERE i = (SELECT max(i) FROM {p}placed)),
+  {p}lack AS (SELECT list_transform(loads, lambda x: greatest(level - x, 0.0)) AS lack FROM {p}level),
   {p}small AS (
     SELECT *, row_number() OVER (PARTITION BY n_pos, n, salt ORDER BY md5(g || '|42'), g) AS rn,
       count(*) OVER (PARTITION BY n_pos, n, salt) AS cnt

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hostlens.functions.decision import decision
 from hostlens.functions.lists import BINARY_FEATURES, FEATURES, NUMERIC_FEATURES
 from hostlens.operators.estimation import estimated, realized, with_draws
+from hostlens.sources.scratch import durable
 
 # Drift and alert settings.
 DRIFT_FLOOR = 0.05
@@ -101,7 +102,8 @@ def drift_scores(
     df: DataFrame, reference: DataFrame, by: tuple[str, ...] = ("day",)
 ) -> DataFrame:
     """(by, feature, score) of every group against the reference rows."""
-    counts, ref = value_counts(df, by), value_counts(reference)
+    # Small tables, each read several times; the rows are read once.
+    counts, ref = durable(value_counts(df, by)), durable(value_counts(reference))
     return binary_drift(counts, ref, by).unionByName(ks_drift(counts, ref, by))
 
 
@@ -136,15 +138,18 @@ def slice_scores(sliced: DataFrame, reference: DataFrame) -> DataFrame:
     The rest is never built: F_slice - F_rest = n / (n - m) * (F_slice - F_all), and every
     value of a slice is a value of the reference.
     """
-    counts, ref = value_counts(sliced, ("slice", "slice_rows", "ref_rows")), value_counts(reference)
-    numeric = F.col("feature").isin(*NUMERIC_FEATURES)
-    by = ("slice", "slice_rows", "ref_rows")
+    by, numeric = ("slice",), F.col("feature").isin(*NUMERIC_FEATURES)
+    counts, ref = durable(value_counts(sliced, by)), durable(value_counts(reference))
     shares = distribution(ref.where(numeric))
     scores = binary_drift(counts, ref, by).unionByName(
         _max_gap(counts.where(numeric).join(shares, ["feature", "value"]), by)
     )
-    widen = F.col("ref_rows") / (F.col("ref_rows") - F.col("slice_rows"))
-    return scores.select("slice", "feature", (F.col("score") * widen).alias("score"))
+    # Every row counts once in each feature, so one feature gives the sizes.
+    one = F.col("feature") == FEATURES[0]
+    n = ref.where(one).agg(F.sum("n")).scalar()
+    sizes = counts.where(one).groupBy("slice").agg(F.sum("n").alias("m"))
+    widened = F.col("score") * n / (n - F.col("m"))
+    return scores.join(sizes, "slice").select("slice", "feature", widened.alias("score"))
 
 
 def thresholds(null_scores: DataFrame) -> DataFrame:

@@ -64,17 +64,23 @@ def group_folds(
         F.col("p.g").alias(group), F.col("p.folds").alias("fold")
     )
 
-    # Share of the rows still lacking, as the upper bounds of the folds in [0, 1].
-    lacks = placed.select("state.loads", (all_rows / k).alias("even")).select(
-        F.transform("loads", lambda load: F.greatest(F.col("even") - load, F.lit(0.0))).alias("lack")
+    # All folds are to be filled up to one level; a fold already above it gets no small groups.
+    # With loads in order, the level is the least (rows left + sum of the j lowest) / j.
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+    lowest = F.array_sort("loads")
+    levels = F.transform(
+        F.sequence(F.lit(1), F.lit(k)),
+        lambda j: (all_rows - total(F.col("loads")) + total(F.slice(lowest, 1, j))) / j,
     )
-    total_lack = F.aggregate("lack", F.lit(0.0), lambda a, x: a + x)
-    running = [
-        F.aggregate(F.slice("lack", 1, i + 1), F.lit(0.0), lambda a, x: a + x) for i in range(k - 1)
-    ]
-    cuts = lacks.select(
-        F.array(*[r / F.nullif(total_lack, F.lit(0.0)) for r in running]).alias("cuts")
+    level = placed.select("state.loads").withColumn("level", F.array_min(levels))
+    lacks = level.select(
+        F.transform("loads", lambda load: F.greatest(F.col("level") - load, F.lit(0.0))).alias("lack")
     )
+    lack = F.nullif(total(F.col("lack")), F.lit(0.0))
+    upto = [total(F.slice("lack", 1, i + 1)) / lack for i in range(k - 1)]
+    cuts = lacks.select(F.array(*upto).alias("cuts"))
 
     salt = md5_word(F.col(group), F.lit("salt")) % F.greatest(
         F.lit(1), F.ceil(all_groups / SALT_GROUPS)

@@ -9,6 +9,8 @@ from hostlens.functions.features import with_features
 from hostlens.functions.hostname import with_hostname, with_registered_domain
 from hostlens.functions.urlshape import day_index
 from hostlens.operators.sampling import stratified_holdout
+from hostlens.sources.io import spread
+from hostlens.sources.scratch import durable
 
 THRESHOLD = 0.626
 START = "2024-01-01"
@@ -49,22 +51,33 @@ _URL = """
 """
 
 
+_stages: dict = {}
+
+
+def _stage(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    """A derived table that is written once per session and read from then on."""
+    key = (name, sf_dir, spark.sparkContext.applicationId)
+    if key not in _stages:
+        _stages[key] = durable(build())
+    return _stages[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(url_id, url, label): one URL text per order."""
-    orders = table(spark, sf_dir, "orders").select(
+    orders = spread(table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("url_id"), F.col("o_custkey").alias("cust")
-    )
+    ))
     label = F.when((F.col("url_id") % 12 < 5) | (F.col("cust") % 17 == 0), 1).otherwise(0)
     return orders.selectExpr("url_id", _URL, "cust").withColumn("label", label).drop("cust")
 
 
 def all_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, id, url): the order URLs and the page URLs."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url"))
     return (
         urls(spark, sf_dir).select(F.lit("orders").alias("src"), F.col("url_id").alias("id"), "url")
         .unionByName(pages.select(F.lit("pages").alias("src"), F.col("page_id").alias("id"), "url"))
@@ -100,12 +113,16 @@ def stress(spark: SparkSession) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stage("scored", spark, sf_dir, lambda: _scored(spark, sf_dir))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored requests with their label and host: one per event.
 
     The scores are calibrated up to day 20 and over-confident by a factor of 2 after it.
     """
     u = "conv(substr(md5(CAST(event_id AS STRING)), 1, 8), 16, 10) / 4294967296D"
-    events = table(spark, sf_dir, "events").selectExpr(
+    events = spread(table(spark, sf_dir, "events").drop("props")).selectExpr(
         "CAST(event_id AS STRING) AS request_id", "event_id", "CAST(ts AS TIMESTAMP) AS timestamp", "event_type AS source",
         "least(value / 100, 1.0D) AS probability", f"{u} AS u",
     )
@@ -121,8 +138,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`scored` with the 22 features, and `is_reference` for a 20% holdout per label."""
-    rows = stratified_holdout(scored(spark, sf_dir), "label", "request_id")
-    return with_features(rows)
+
+    def build():
+        return with_features(stratified_holdout(scored(spark, sf_dir), "label", "request_id"))
+
+    return _stage("scored_features", spark, sf_dir, build)
 
 
 def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:

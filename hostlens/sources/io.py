@@ -38,6 +38,13 @@ def read_prediction_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PREDICTION_LOG).json(path, mode="FAILFAST", timestampFormat=LOG_TIME)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer partitions than cores (one small or unsplittable file) dealt
+    out to all cores; any larger input is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).csv(path, header=True, escape='"')
 

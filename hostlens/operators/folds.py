@@ -72,9 +72,10 @@ def group_folds(
     lowest = F.array_sort("loads")
     levels = F.transform(
         F.sequence(F.lit(1), F.lit(k)),
-        lambda j: (all_rows - total(F.col("loads")) + total(F.slice(lowest, 1, j))) / j,
+        lambda j: (F.col("rows") - total(F.col("loads")) + total(F.slice(lowest, 1, j))) / j,
     )
-    level = placed.select("state.loads").withColumn("level", F.array_min(levels))
+    level = placed.select("state.loads", all_rows.alias("rows"))
+    level = level.withColumn("level", F.array_min(levels))
     lacks = level.select(
         F.transform("loads", lambda load: F.greatest(F.col("level") - load, F.lit(0.0))).alias("lack")
     )

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import fields, is_dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostlens.sources.scratch import present
+
 Query = Callable[[SparkSession, str], DataFrame]
 _shared: dict = {}
 QUERIES: dict[str, Query] = {}
@@ -47,6 +50,15 @@ def tidy(df: DataFrame) -> DataFrame:
 def shared(name: str, spark: SparkSession, sf_dir: str, build: Callable):
     """A table or model that several queries of one session use."""
     key = (name, sf_dir, spark.sparkContext.applicationId)
-    if key not in _shared:
+    if key not in _shared or not all(map(present, _tables(_shared[key]))):
         _shared[key] = build()
     return _shared[key]
+
+
+def _tables(value) -> list[DataFrame]:
+    """The stored tables inside a shared value."""
+    if isinstance(value, DataFrame):
+        return [value]
+    if is_dataclass(value):
+        value = {f.name: getattr(value, f.name) for f in fields(value)}
+    return [t for v in value.values() for t in _tables(v)] if isinstance(value, dict) else []

@@ -10,7 +10,7 @@ from hostlens.functions.hostname import with_hostname, with_registered_domain
 from hostlens.functions.urlshape import day_index
 from hostlens.operators.sampling import stratified_holdout
 from hostlens.sources.io import spread
-from hostlens.sources.scratch import durable
+from hostlens.sources.scratch import durable, present
 
 THRESHOLD = 0.626
 START = "2024-01-01"
@@ -57,7 +57,7 @@ _stages: dict = {}
 def _stage(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
     """A derived table that is written once per session and read from then on."""
     key = (name, sf_dir, spark.sparkContext.applicationId)
-    if key not in _stages:
+    if key not in _stages or not present(_stages[key]):
         _stages[key] = durable(build())
     return _stages[key]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +37,13 @@ def durable(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """Broadcast hint for a lookup side whose row count was checked; a plain join beyond it."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def present(df: DataFrame) -> bool:
+    """Whether the files a stored result reads are still there (scratch space may be cleared)."""
+    files = df.inputFiles()
+    try:
+        df.sparkSession.read.text(sorted(files)[:1] + sorted(files)[-1:])
+    except AnalysisException:
+        return False
+    return bool(files)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -216,10 +217,32 @@ def merge_sources(primary: DataFrame, benign: DataFrame) -> MergedHosts:
 
 @dataclass
 class Dataset:
-    """`rows`: hostname, registered_domain, label, source, fold, split; `ledger`: all steps."""
-
-    rows: DataFrame
-    ledger: DataFrame
+    """The merged hosts; the split and the ledger are worked out when first asked for."""
+
+    summary: DataFrame
+    list_a: DataFrame
+    by: BenignFilter
+    merged: MergedHosts
+    folds: int
+    seed: int
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """hostname, registered_domain, label, source, fold, split; fold 0 is the test set."""
+        rows = grouped_folds(
+            self.merged.rows, "registered_domain", "label", self.folds, self.seed
+        )
+        split = F.when(F.col("fold") == 0, "test").otherwise("train")
+        return rows.withColumn("split", split)
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        """part, step_no, step, removed, remaining of all steps."""
+        return (
+            clean_ledger(self.summary)
+            .unionByName(benign_ledger(self.list_a, self.by))
+            .unionByName(self.merged.ledger)
+        )
 
 
 def build_dataset(
@@ -234,16 +257,13 @@ def build_dataset(
     seed: int = SEED,
     rules: SuffixRules | None = None,
 ) -> Dataset:
-    """Clean, add the benign list, merge and split; fold 0 is the test set."""
+    """Clean, add the benign list, merge and split."""
     summary = durable(host_summary(raw, order))  # the raw URLs are read once
     primary = with_registered_domain(clean_hosts(summary), rules=rules)
-    phishing = primary.where(F.col("label") == 1).select("hostname")
+    phishing = primary.where(F.col("label") == 1)
     by = BenignFilter.of(list_b, stress, phishing, top_n, max_per_domain, rules)
     merged = merge_sources(primary, benign_hosts(list_a, by))
-    ledger = clean_ledger(summary).unionByName(benign_ledger(list_a, by)).unionByName(merged.ledger)
-    rows = grouped_folds(merged.rows, "registered_domain", "label", folds, seed)
-    split = F.when(F.col("fold") == 0, "test").otherwise("train")
-    return Dataset(rows.withColumn("split", split), ledger)
+    return Dataset(summary, list_a, by, merged, folds, seed)
 
 
 def shared_domains(rows: DataFrame) -> DataFrame:

@@ -101,7 +101,8 @@ def list_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 def list_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rank, domain): registered domains of the URLs with a fixed pseudo-random rank."""
     named = with_hostname(urls(spark, sf_dir).select("url_id", "url"))
-    domains = with_registered_domain(named.where("hostname != ''"))
+    first = named.groupBy("hostname").agg(F.min("url_id").alias("url_id"))
+    domains = with_registered_domain(first.where("hostname != ''"))
     return domains.groupBy(F.col("registered_domain").alias("domain")).agg(
         (F.min("url_id") + 1).cast("int").alias("rank")
     ).select("rank", "domain")

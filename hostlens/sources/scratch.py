@@ -27,10 +27,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Compute a reused result once, with its lineage cut on reliable storage."""
+def durable(df: DataFrame, **options: str) -> DataFrame:
+    """Compute a reused result once, with its lineage cut on reliable storage; options of the writer."""
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

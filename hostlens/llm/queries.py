@@ -35,3 +35,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+@_query
+def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostlens.llm.ppm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))

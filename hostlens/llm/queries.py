@@ -42,3 +42,14 @@ def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hostlens.llm.ppm import score_documents
 
     return score_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostlens.llm.langid import fit, identify, in_training
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs, in_training(F.col("doc_id")))
+    return identify(docs, model).select(
+        "doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected"
+    )

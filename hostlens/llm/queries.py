@@ -53,3 +53,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select(
         "doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected"
     )
+
+
+@_query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostlens.llm.decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

@@ -60,3 +60,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hostlens.llm.decontaminate import contamination
 
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostlens.llm.secrets import digest, scan
+
+    return digest(scan(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostlens.llm.pii import digest, extract
+
+    return digest(extract(_table(spark, sf_dir, "documents")))

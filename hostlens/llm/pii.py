@@ -63,7 +63,7 @@ def _words(side: Column) -> Column:
 def patterns(span: Column) -> Column:
     """Lexical patterns of a span: two words before, two after, one on either side."""
     left, right = _words(span["before"]), _words(span["after"])
-    l1, l2 = F.element_at(left, -1), F.element_at(left, -2)
+    l1, l2 = F.try_element_at(left, F.lit(-1)), F.try_element_at(left, F.lit(-2))
     return F.filter(F.array(
         F.concat(F.lit("L "), l2, F.lit(" "), l1), F.concat(F.lit("R "), F.get(right, 0), F.lit(" "), F.get(right, 1)),
         F.concat(F.lit("B "), l1, F.lit(" "), F.get(right, 0)),

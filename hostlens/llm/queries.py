@@ -74,3 +74,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hostlens.llm.pii import digest, extract
 
     return digest(extract(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op5_orderhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostlens.llm.orderhash import edit_report
+
+    return edit_report(_table(spark, sf_dir, "documents"))

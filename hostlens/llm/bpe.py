@@ -8,13 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import arrow_batches, id_and_text
-from hostlens.sources.scratch import durable
+from hostlens.llm.common import arrow_batches, bucketed, id_and_text
+
+CHUNK_MB = 64
 
 # Fixed value: how the byte-level vocabularies cut a text into words, blanks as Unicode has them.
 WORDS = (
@@ -33,10 +35,9 @@ class Vocabulary:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.pieces = dict(spec["model"]["vocab"]) | {t["content"]: t["id"] for t in spec["added_tokens"]}
 
-    def piece_table(self, spark: SparkSession) -> DataFrame:
-        """(id, piece): one row per vocabulary entry, which bounds it."""
-        rows = pa.table({"id": list(self.pieces.values()), "piece": list(self.pieces)})
-        return spark.createDataFrame(rows).select(F.col("id").cast("int").alias("id"), "piece")
+    @property
+    def id_type(self) -> str:
+        return "<u2" if max(self.pieces.values()) < 1 << 16 else "<u4"
 
 
 def words_of(text: Column, special: list[str]) -> Column:
@@ -75,11 +76,13 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 def positions(docs: DataFrame, special: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Texts as word numbers. Two kinds of rows: per document (chunk, doc_id, numbers), and per chunk
-    (chunk, words), the words that the numbers count. A chunk is one Arrow batch, bounded in bytes."""
-    arrow_batches(docs.sparkSession)
+    (chunk, words), the words that the numbers count, most frequent first. A chunk is one Arrow batch,
+    bounded in bytes."""
+    arrow_batches(docs.sparkSession, CHUNK_MB)
     rows = id_and_text(docs, doc_id, text).select("doc_id", words_of(F.col("text"), special).alias("words"))
     kind = rows.schema["doc_id"].dataType
-    schema = f"chunk string, doc_id {kind.simpleString()}, numbers binary, words array<string>"
+    schema = f"chunk long, doc_id {kind.simpleString()}, numbers binary, words array<string>"
+    names = ["chunk", "doc_id", "numbers", "words"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -87,27 +90,31 @@ def positions(docs: DataFrame, special: list[str], doc_id: str = "doc_id", text:
             lists = part.column("words")
             coded = lists.flatten().dictionary_encode()
             at = coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(-np.bincount(at, minlength=len(coded.dictionary)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            at, words = rank[at], coded.dictionary.take(pa.array(order))
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
             packed = [_pack(at[e - s : e]) for s, e in zip(sizes, ends)]
-            chunk, k = f"{task}-{n}", len(packed)
-            ids = part.column("doc_id")
+            chunk, k, ids = (task << 24) + n, len(packed), part.column("doc_id")
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * k), ids, pa.array(packed, pa.binary()),
-                 pa.nulls(k, pa.list_(pa.string()))], ["chunk", "doc_id", "numbers", "words"],
+                [pa.array([chunk] * k, pa.int64()), ids, pa.array(packed, pa.binary()),
+                 pa.nulls(k, pa.list_(pa.string()))], names,
             )
+            whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk]), pa.nulls(1, ids.type), pa.nulls(1, pa.binary()),
-                 pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string()))],
-                ["chunk", "doc_id", "numbers", "words"],
+                [pa.array([chunk], pa.int64()), pa.nulls(1, ids.type), pa.nulls(1, pa.binary()), whole], names
             )
 
     return rows.mapInArrow(run, schema)
 
 
-def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, ids) for a table of distinct words."""
-    shared = words.sparkSession.sparkContext.broadcast(vocabulary.text)  # one vocabulary file
+def encode_words(wanted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(chunk, no, ids) for (chunk, no, word) rows that are sorted by word within partitions: each run
+    of one word is encoded once. ids are packed as 16-bit numbers, or 32-bit with more pieces."""
+    shared = wanted.sparkSession.sparkContext.broadcast(vocabulary.text)  # one vocabulary file
+    kind = vocabulary.id_type
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -118,22 +125,18 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 tokenizer = Tokenizer.from_str(shared.value)
                 tokenizer.no_truncation()
                 tokenizer.no_padding()
-            word = part.column("word")
-            ids = [e.ids for e in tokenizer.encode_batch_fast(word.to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([word, pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
-
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+            coded = part.column("word").dictionary_encode()  # the runs of this batch
+            words = coded.dictionary.to_pylist()
+            ids = [
+                np.array(e.ids, kind).tobytes()
+                for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("chunk"), part.column("no"), pa.array(ids, pa.binary()).take(coded.indices)],
+                ["chunk", "no", "ids"],
+            )
 
-
-def decode_words(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(word, ids, pieces): the pieces of each word's ids, joined by id, in the vocabulary's letters."""
-    each = encoded.select("word", "ids", F.posexplode("ids").alias("at", "id"))
-    found = each.join(F.broadcast(pieces), "id")  # as many rows as the vocabulary has
-    return found.groupBy("word").agg(
-        F.first("ids").alias("ids"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "")
-        .alias("pieces"),
-    )
+    return wanted.mapInArrow(run, "chunk long, no int, ids binary")
 
 
 def byte_letters() -> dict[str, int]:
@@ -144,45 +147,71 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def pieces_of(found: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The id-to-piece join: each row of `found` (chunk, no, ids) with the bytes its ids stand for.
+
+    The piece table has one row per vocabulary entry, which bounds it, so it is joined on the map
+    side: broadcast, and taken by id for a batch of rows at a time."""
+    letters, special = byte_letters(), set(vocabulary.special)
+    table: list[bytes] = [b""] * (max(vocabulary.pieces.values()) + 1)
+    for piece, i in vocabulary.pieces.items():
+        table[i] = piece.encode() if piece in special else bytes(letters[c] for c in piece)
+    shared, kind = found.sparkSession.sparkContext.broadcast(table), vocabulary.id_type
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pa.array(shared.value, pa.large_binary())
+        for part in parts:
+            ids = part.column("ids")
+            flat = np.frombuffer(b"".join(ids.to_pylist()), kind)
+            offsets = np.cumsum(np.r_[0, pc.binary_length(ids).to_numpy() // np.dtype(kind).itemsize])
+            joined = pc.take(pieces, pa.array(flat.astype(np.int64)))
+            lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), joined)
+            text = pc.binary_join(lists, pa.scalar(b"", pa.large_binary())).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("chunk"), part.column("no"), ids, text], ["chunk", "no", "ids", "text"]
+            )
+
+    return found.mapInArrow(run, "chunk long, no int, ids binary, text binary")
+
+
 def encode_documents(
     docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text", full: bool = True,
 ) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), and with `full` also ids and decoded text.
 
-    Every text is cut into words; the distinct words of a chunk of documents are looked up in one
-    table of distinct words, which is encoded once and decoded by an id-to-piece join; the results
-    are put back by position within the chunk. NULL and empty texts have no ids. Each input row gives
-    one row. A frequent word is one row per chunk, so no word is a hot key.
+    Every text is cut into words; the words of each chunk of documents, once each, are brought
+    together by word, encoded once per distinct word and decoded by the id-to-piece join; the results
+    go back to their chunk and are put into the documents by position. The word numbers are stored
+    in buckets by chunk, so they are not shuffled. NULL and empty texts have no ids. Each input row
+    gives one row. A frequent word is one row per chunk, so no word is a hot key.
     """
     spark = docs.sparkSession
-    stored = durable(positions(docs, vocabulary.special, doc_id, text), compression="zstd")
+    stored = bucketed(positions(docs, vocabulary.special, doc_id, text), "chunk")
     wanted = stored.where("words IS NOT NULL").select("chunk", F.posexplode("words").alias("no", "word"))
-    words = durable(decode_words(
-        encode_words(wanted.select("word").distinct(), vocabulary), vocabulary.piece_table(spark)
-    ), compression="zstd")
-    found = wanted.join(words, "word").select(F.col("chunk").alias("of_chunk"), "no", "ids", "pieces")
+    by_word = wanted.repartition("word").sortWithinPartitions("word")
+    arrow_batches(spark, CHUNK_MB)
+    found = pieces_of(encode_words(by_word, vocabulary), vocabulary).withColumnRenamed("chunk", "of_chunk")
     rows = stored.where("numbers IS NOT NULL").select("chunk", "doc_id", "numbers")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    doc_kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {doc_kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if full:
         schema += ", ids array<int>, decoded string"
-    letters = byte_letters()
-    special = set(vocabulary.special)
+    kind = vocabulary.id_type
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         n = right.num_rows
-        at = right.column("no").to_numpy()
         count, ids, raw = np.zeros(n, np.int64), np.empty(n, object), np.empty(n, object)
-        each = right.column("ids").combine_chunks()
-        for no, got, piece in zip(at, each.to_pylist(), right.column("pieces").to_pylist()):
-            count[no] = len(got)
-            ids[no] = ",".join(map(str, got))
-            raw[no] = piece.encode() if piece in special else bytes([letters[c] for c in piece])
-        out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        if full:
-            out |= {"ids": [], "decoded": []}
-        for packed in left.column("numbers").to_pylist():
-            numbers = _unpack(packed)
+        at = right.column("no").to_numpy()
+        packed = right.column("ids").to_pylist()
+        count[at] = np.fromiter(map(len, packed), np.int64, n) // np.dtype(kind).itemsize
+        flat = np.frombuffer(b"".join(packed), kind).tolist()
+        end = 0
+        for no, size, piece in zip(at.tolist(), count[at].tolist(), right.column("text").to_pylist()):
+            ids[no], raw[no] = ",".join(map(str, flat[end : end + size])), piece
+            end += size
+        out: dict[str, list] = {name: [] for name in names[1:]}
+        for packed_row in left.column("numbers").to_pylist():
+            numbers = _unpack(packed_row)
             all_ids = ",".join(ids[numbers].tolist())
             decoded = b"".join(raw[numbers].tolist()).decode("utf-8", "replace")
             out["n_tokens"].append(int(count[numbers].sum()))
@@ -191,11 +220,12 @@ def encode_documents(
             if full:
                 out["ids"].append([int(i) for i in all_ids.split(",")] if all_ids else [])
                 out["decoded"].append(decoded)
-        table = {"doc_id": left.column("doc_id")} | {k: pa.array(v) for k, v in out.items() if k != "ids"}
-        if full:
-            table["ids"] = pa.array(out["ids"], pa.list_(pa.int32()))
-        names = [c.split()[0] for c in schema.split(", ")]
-        types = {"n_tokens": pa.int64(), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-        return pa.table({c: table[c].cast(types[c]) if c in types else table[c] for c in names})
-
+        columns = [left.column("doc_id"), *(pa.array(out[n], types[n]) for n in names[1:])]
+        return pa.table(columns, names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = {
+        "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(),
+        "ids": pa.list_(pa.int32()), "decoded": pa.string(),
+    }
     return rows.groupBy("chunk").cogroup(found.groupBy("of_chunk")).applyInArrow(run, schema)

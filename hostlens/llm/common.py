@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostlens.sources.scratch import scratch_path
+
 BATCH_MB = 32
 HEAVY_KEYS = 1000
 
@@ -52,7 +53,11 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> Da
     )
 
 
-def batches(schema: pa.Schema, rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-    for columns in rows:
-        arrays = [pa.array(columns[f.name], type=f.type) for f in schema]
-        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Compute once and store in buckets by `key`, so that grouping by it needs no shuffle."""
+    spark = df.sparkSession
+    name = f"buckets_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.bucketBy(n, key).option("compression", "zstd").option("path", scratch_path(spark, name))
+     .format("parquet").saveAsTable(name))
+    return spark.table(name)

@@ -81,3 +81,10 @@ def op5_orderhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hostlens.llm.orderhash import edit_report
 
     return edit_report(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostlens.llm.warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"))

@@ -88,3 +88,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hostlens.llm.warc import round_trip
 
     return round_trip(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op6_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostlens.llm.maintext import extract, fit
+
+    pages = _table(spark, sf_dir, "pages")
+    return extract(pages, fit(pages))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from hostlens.llm.common import arrow_batches, bucketed, id_and_text
 
 CHUNK_MB = 64
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 # Fixed value: how the byte-level vocabularies cut a text into words, blanks as Unicode has them.
 WORDS = (
@@ -175,9 +176,10 @@ def pieces_of(found: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def encode_documents(
-    docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text", full: bool = True,
+    docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text",
+    also: tuple[str, ...] = ("ids", "decoded"),
 ) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and with `full` also ids and decoded text.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and if asked for the ids and the decoded text.
 
     Every text is cut into words; the words of each chunk of documents, once each, are brought
     together by word, encoded once per distinct word and decoded by the id-to-piece join; the results
@@ -194,8 +196,7 @@ def encode_documents(
     rows = stored.where("numbers IS NOT NULL").select("chunk", "doc_id", "numbers")
     doc_kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {doc_kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    if full:
-        schema += ", ids array<int>, decoded string"
+    schema += "".join(f", {c} {'array<int>' if c == 'ids' else 'string'}" for c in also)
     kind = vocabulary.id_type
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -217,8 +218,9 @@ def encode_documents(
             out["n_tokens"].append(int(count[numbers].sum()))
             out["ids_sha256"].append(hashlib.sha256(all_ids.encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-            if full:
+            if "ids" in out:
                 out["ids"].append([int(i) for i in all_ids.split(",")] if all_ids else [])
+            if "decoded" in out:
                 out["decoded"].append(decoded)
         columns = [left.column("doc_id"), *(pa.array(out[n], types[n]) for n in names[1:])]
         return pa.table(columns, names)

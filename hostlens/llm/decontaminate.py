@@ -311,18 +311,20 @@ def drop_contaminated(
     arrow_batches(spark, 8)
     for block in blocks_of(benchmark, item_id, item_text, q, rate, block_chars):
         shared = spark.sparkContext.broadcast(block)  # bounded by block_chars
-        overlap = _overlap(block)
+        docs = docs.where(_clean(shared, _overlap(block))(text_or_empty(text)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared, overlap=overlap) -> pd.Series:
-            ok = np.ones(len(texts), bool)
-            for where, windows in _groups(texts.tolist(), overlap, len(shared.value.ids)):
-                for w, *_ in find(shared.value, windows):
-                    ok[where[w][0]] = False
-            return pd.Series(ok)
 
-        docs = docs.where(clean(text_or_empty(text)))
-    return docs
+def _clean(shared, overlap: int):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        ok = np.ones(len(texts), bool)
+        for where, windows in _groups(texts.tolist(), overlap, len(shared.value.ids)):
+            for w, *_ in find(shared.value, windows):
+                ok[where[w][0]] = False
+        return pd.Series(ok)
+
+    return clean
 
 
 def _overlap(block: Block) -> int:

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+import corpus_pipeline
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _query(fn):
@@ -23,9 +24,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @_query
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from hostlens.llm.bpe import Vocabulary, encode_documents
+    from hostlens.llm.bpe import VOCABULARY, Vocabulary, encode_documents
 
-    return encode_documents(_table(spark, sf_dir, "documents"), Vocabulary(VOCABULARY), full=False)
+    return encode_documents(_table(spark, sf_dir, "documents"), Vocabulary(VOCABULARY), also=())
 
 
 @_query

@@ -50,11 +50,10 @@ def a16(spark, sf):
 
 @query("m4_threshold_at_fpr", oracle(f"""
 SELECT {r9('q', 'quantile')}, {r9('(SELECT avg((probability > q)::INT) FROM scored WHERE label = 0)', 'fpr_above')}
-FROM (SELECT list_sort(list(probability))[ceil((count(*) - 1) * (1 - 0.1::DOUBLE))::BIGINT + 1] AS q FROM scored WHERE label = 0)""", "scored"))
+FROM (SELECT list_sort(list(probability))[ceil((count(*) - 1) * (1 - 0.01::DOUBLE))::BIGINT + 1] AS q FROM scored WHERE label = 0)""", "scored"))
 def m4(spark, sf):
-    # 10% here: the derived scores are capped at 1, so that 1% would fall on the cap.
     rows = fx.scored(spark, sf)
-    q = metrics.fpr_quantile(rows, 0.1)
+    q = metrics.fpr_quantile(rows, 0.01)
     legit = rows.where("label = 0").withColumn("q", q.scalar())
     return legit.groupBy(F.col("q").alias("quantile")).agg(
         F.avg((F.col("probability") > F.col("q")).cast("double")).alias("fpr_above")

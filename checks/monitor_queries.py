@@ -12,6 +12,9 @@ from hostlens.plans import monitoring as mon
 from hostlens.sources import fixtures as fx
 from hostlens.sources.scratch import durable
 
+# The same at every size of the tables; the library's default is a day of 2,000 rows.
+SLICE_ROWS = 100
+
 
 def _traffic(spark, sf):
     return fx.scored_features(spark, sf).where("NOT is_reference")
@@ -24,7 +27,7 @@ def _reference(spark, sf):
 def _monitor(spark, sf):
     def build():
         rows = durable(fx.scored_features(spark, sf))
-        return mon.monitor(rows.where("NOT is_reference"), rows.where("is_reference"), fx.THRESHOLD)
+        return mon.monitor(rows.where("NOT is_reference"), rows.where("is_reference"), fx.THRESHOLD, SLICE_ROWS)
 
     return shared("monitor", spark, sf, build)
 
@@ -41,13 +44,13 @@ def n1(spark, sf):
 @query("n3_j9_null_scores", oracle(f"SELECT slice, feature, {_cols('score')} FROM null_scores", "null_scores"))
 def n3(spark, sf):
     reference = durable(_reference(spark, sf))
-    return drift.slice_scores(drift.slices(reference, "request_id"), reference)
+    return drift.slice_scores(drift.slices(reference, "request_id", SLICE_ROWS), reference)
 
 
 @query("n3_null_metrics", oracle(f"""
 SELECT slice, {_cols(*CHECKS)}, n_requests, {_cols('true_phishing_share')} FROM slice_perf""", "slice_perf"))
 def n3b(spark, sf):
-    sliced = drift.slices(_reference(spark, sf), "request_id")
+    sliced = drift.slices(_reference(spark, sf), "request_id", SLICE_ROWS)
     return drift.performance(sliced, fx.THRESHOLD, ("slice",))
 
 
@@ -97,7 +100,7 @@ def n7(spark, sf):
 
 @query("a13_limits", oracle(f'SELECT "check", {_cols("low", "high", "reference")} FROM limits', "limits"))
 def a13(spark, sf):
-    sliced = drift.slices(_reference(spark, sf), "request_id")
+    sliced = drift.slices(_reference(spark, sf), "request_id", SLICE_ROWS)
     return drift.limits(drift.performance(sliced, fx.THRESHOLD, ("slice",)))
 
 

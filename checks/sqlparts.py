@@ -240,7 +240,7 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
          THEN 1 ELSE 0 END AS label
   FROM (SELECT event_id, CAST(event_id AS STRING) AS request_id, ts AS timestamp, event_type AS source,
           (datediff('day', DATE '2024-01-01', ts::DATE) + 1)::INT AS day,
-          least(value / 100, 1.0::DOUBLE) AS probability,
+          value / (value + 50) AS probability,
           {word("CAST(event_id AS STRING)")} / 4294967296.0::DOUBLE AS u FROM events)
   JOIN unamed ON event_id = url_id"""),
     "held": (("scored",), f"""
@@ -257,7 +257,7 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
     "sliced": (("ref", "draws"), f"""
   SELECT * EXCLUDE (rn, u, a, b, draw), draw AS slice FROM (
     SELECT *, row_number() OVER (PARTITION BY draw ORDER BY u, request_id) AS rn FROM (
-      SELECT *, least(2000, floor((SELECT count(*) FROM ref) / 8)) AS m, (SELECT count(*) FROM ref) AS n_ref,
+      SELECT *, 100 AS m, (SELECT count(*) FROM ref) AS n_ref,
         (({word("request_id || '|42'")} % {PRIME}) * a + b) % {PRIME} / {PRIME}.0::DOUBLE AS u
       FROM ref, draws))
   WHERE rn <= m"""),

@@ -32,7 +32,3 @@ def cap_per_group(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
     shuffle, so a hot group sends at most n rows per task."""
     window = Window.partitionBy(group).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= n).drop("_rn")
-
-
-def with_group_rank(df: DataFrame, group: str, order: list, name: str = "rn") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hostlens.functions.decision import decision
 from hostlens.functions.lists import BINARY_FEATURES, FEATURES, NUMERIC_FEATURES
-from hostlens.operators.estimation import estimated, realized, with_draws
+from hostlens.operators.estimation import estimated, low_draws, realized
 from hostlens.sources.scratch import durable
 
 # Drift and alert settings.
@@ -108,28 +108,26 @@ def drift_scores(
 
 
 def slices(
-    reference: DataFrame, key: str, rows: int | None = None, n: int = N_NULL, seed: int = 42
+    reference: DataFrame, key: str, rows: int = DAY_SIZE, n: int = N_NULL, seed: int = 42
 ) -> DataFrame:
-    """Each of `n` random slices of exactly m reference rows, without replacement.
+    """Each of `n` random slices of exactly `rows` reference rows, without replacement.
 
-    m is `rows`, or at most DAY_SIZE and an eighth of the reference. Only rows whose uniform is
-    below a bound that leaves about m + 12 sqrt(m) rows per slice are ranked; should a slice
-    ever come out short, the job fails rather than give a wrong answer.
+    Only (row, slice) pairs whose uniform is below a bound that leaves about m + 12 sqrt(m) rows per
+    slice leave the scan, as keys; they are ranked, and the rows are joined to those kept. A slice
+    that comes out short, as with a reference of fewer rows, fails the job.
     """
     total = reference.agg(F.count(F.lit(1)).cast("double")).scalar()
-    m = F.least(F.lit(float(DAY_SIZE)), F.floor(total / 8)) if rows is None else F.lit(float(rows))
-    drawn = with_draws(reference, key, n, seed).withColumnRenamed("draw", "slice")
-    drawn = drawn.withColumn("slice_rows", m.cast("bigint")).withColumn("ref_rows", total)
-    bound = (F.col("slice_rows") + 12 * F.sqrt("slice_rows") + 100) / F.col("ref_rows")
-    near = drawn.where(F.col("u") < bound)
+    bound = (F.lit(float(rows)) + 12 * F.sqrt(F.lit(float(rows))) + 100) / total
+    near = low_draws(reference.select(key).withColumn("_bound", bound), key, "_bound", n, seed)
+    near = near.withColumnRenamed("draw", "slice")
     per_slice = Window.partitionBy("slice")
     ranked = near.withColumn(
         "_rn", F.row_number().over(per_slice.orderBy("u", key))
     ).withColumn("_near", F.count(F.lit(1)).over(per_slice))
-    short = F.raise_error(F.lit("slice came out short; use another seed"))
-    enough = F.when(F.col("_near") >= F.col("slice_rows"), True).otherwise(short.cast("boolean"))
-    kept = ranked.where(enough & (F.col("_rn") <= F.col("slice_rows")))
-    return kept.drop("u", "_rn", "_near")
+    short = F.raise_error(F.lit("slice came out short: too few reference rows, or use another seed"))
+    enough = F.when(F.col("_near") >= rows, True).otherwise(short.cast("boolean"))
+    kept = ranked.where(enough & (F.col("_rn") <= rows)).select(key, "slice")
+    return kept.join(reference, key).select(*reference.columns, "slice")
 
 
 def slice_scores(sliced: DataFrame, reference: DataFrame) -> DataFrame:

@@ -45,18 +45,28 @@ def draw_constants(draws: int, seed: int) -> list[tuple[int, int]]:
     return [(word("slope", d) % (PRIME - 1) + 1, word("shift", d) % PRIME) for d in range(draws)]
 
 
-def with_draws(df: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
-    """Each row once per draw, with `draw` and `u` uniform in [0, 1).
-
-    The row's key is hashed once; a draw only costs a multiplication modulo a prime.
-    """
+def _draws(key: str, draws: int, seed: int) -> Column:
+    """Array of (draw, u): u uniform in [0, 1) per draw. The row's key is hashed once; a draw only
+    costs a multiplication modulo a prime."""
     slopes, shifts = zip(*draw_constants(draws, seed))
     maps = F.arrays_zip(F.lit(list(slopes)).alias("a"), F.lit(list(shifts)).alias("b"))
-    word = md5_word(F.col(key), F.lit(seed)) % PRIME
-    rows = df.select("*", word.alias("_word"))
-    rows = rows.select("*", F.posexplode(maps.cast("array<struct<a:bigint,b:bigint>>")))
-    u = (F.col("_word") * F.col("col.a") + F.col("col.b")) % PRIME / F.lit(float(PRIME))
-    return rows.select(*df.columns, F.col("pos").alias("draw"), u.alias("u"))
+    maps = maps.cast("array<struct<a:bigint,b:bigint>>")
+    word = F.array(md5_word(F.col(key), F.lit(seed)) % PRIME)
+    return F.flatten(F.transform(word, lambda w: F.transform(maps, lambda m, i: F.struct(
+        i.alias("draw"), ((w * m["a"] + m["b"]) % PRIME / F.lit(float(PRIME))).alias("u")
+    ))))
+
+
+def with_draws(df: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
+    """Each row once per draw, with `draw` and `u` uniform in [0, 1)."""
+    rows = df.select("*", F.explode(_draws(key, draws, seed)).alias("_d"))
+    return rows.select(*df.columns, "_d.draw", "_d.u")
+
+
+def low_draws(df: DataFrame, key: str, bound: str, draws: int, seed: int) -> DataFrame:
+    """(key, draw, u) of the draws whose u is below the row's `bound`; the others are never rows."""
+    kept = F.filter(_draws(key, draws, seed), lambda d: d["u"] < F.col(bound))
+    return df.select(key, F.explode(kept).alias("_d")).select(key, "_d.draw", "_d.u")
 
 
 def estimation_interval(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostlens.functions.urlshape import md5_uniform, md5_word
+from hostlens.operators.joins import null_safe_join
 from hostlens.sources.scratch import durable
 
 GRAIN = 20
@@ -103,13 +104,14 @@ def group_folds(
 def grouped_folds(
     df: DataFrame, group: str, label: str, k: int = 5, seed: int = 42
 ) -> DataFrame:
-    """Add `fold` in 0..k-1. Groups are never split over folds.
+    """Add `fold` in 0..k-1. Groups are never split over folds; rows of a NULL group are one group.
 
     Rows of the few big groups get their fold by a broadcast of at most GRAIN * k rows and are
-    never shuffled; in the shuffle join of the others no key holds more than 1/(GRAIN * k).
+    never shuffled; in the shuffle join of the others no key holds more than 1/(GRAIN * k). Which
+    rows share a small group's draw changes when the groups pass a multiple of SALT_GROUPS.
     """
     big, small = group_folds(df, group, label, k, seed)
-    marked = df.join(F.broadcast(big), group, "left")
-    rest = marked.where(F.col("fold").isNull()).drop("fold").join(small, group)
     cols = [*df.columns, "fold"]
+    marked = null_safe_join(df, F.broadcast(big), [group], "left")
+    rest = null_safe_join(marked.where(F.col("fold").isNull()).drop("fold"), small, [group])
     return marked.where(F.col("fold").isNotNull()).select(*cols).unionByName(rest.select(*cols))

@@ -1,9 +1,10 @@
 """Cumulative sums over a global order without a one-task window.
 
 Values are counted per distinct value first (map-side combine). Approximate quantiles of the
-value cut the order into cells; a strictly monotone search finds a value's cell. Sums run inside
-each cell in parallel, and the totals of the earlier cells (at most CELLS per group) are added.
-The bounds only steer the partitioning: any bounds give the same sums.
+distinct values of each group cut its order into cells, so that neither ties nor a narrow group fill
+one; a strictly monotone search finds a value's cell. Sums run inside each cell in parallel, and the
+totals of the earlier cells are added. The number of cells and their bounds only steer the
+partitioning: any give the same sums.
 """
 
 from __future__ import annotations
@@ -11,13 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 256  # a power of two
+from hostlens.operators.joins import null_safe_join
+from hostlens.sources.scratch import broadcast_if_small, durable
 
+CELLS = 256
 
-def with_cell(df: DataFrame, value: str, bounds: Column) -> DataFrame:
-    """Add `_cell` = number of bounds <= value, by binary search in generated code."""
+
+def with_cell(df: DataFrame, value: str, bounds: Column, cells: int) -> DataFrame:
+    """Add `_cell` = number of bounds <= value, by binary search in generated code; `cells` is a power
+    of two, and there is one bound less."""
     df = df.withColumn("_bounds", bounds).withColumn("_cell", F.lit(0))
-    step = CELLS // 2
+    step = cells // 2
     while step:
         probe = F.element_at("_bounds", F.col("_cell") + step)
         df = df.withColumn(
@@ -28,18 +33,29 @@ def with_cell(df: DataFrame, value: str, bounds: Column) -> DataFrame:
 
 
 def prefix_sums(
-    df: DataFrame, value: str, sums: dict[str, Column], by: tuple[str, ...] = ()
+    df: DataFrame, value: str, sums: dict[str, Column], by: tuple[str, ...] = (), cells: int | None = None
 ) -> DataFrame:
     """Per distinct (by, value): each sum, `cum_<name>` up to and with the value, `all_<name>`.
 
-    `sums` maps a name to the row expression that is summed.
+    `sums` maps a name to the row expression that is summed; a group has at least `cells` cells, by
+    default CELLS or as many as there are shuffle partitions. NULL values have no sum; NULL keys are
+    a group.
     """
     by = list(by)
-    df = df.where(F.col(value).isNotNull())
-    fractions = [i / CELLS for i in range(1, CELLS)]
-    bounds = df.agg(F.percentile_approx(value, fractions, 10_000)).scalar()
-    counts = df.groupBy(*by, value).agg(*[F.sum(e).alias(name) for name, e in sums.items()])
-    counts = with_cell(counts, value, bounds)
+    cells = max(cells or max(CELLS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 2)
+    cells = 1 << (cells - 1).bit_length()
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
+        *[F.sum(e).alias(name) for name, e in sums.items()]
+    )
+    fractions = [i / cells for i in range(1, cells)]
+    cut = F.percentile_approx(value, fractions, max(10_000, 4 * cells)).alias("_cuts")
+    if by:
+        counts = durable(counts)
+        bounds = broadcast_if_small(durable(counts.groupBy(*by).agg(cut)), 1000)
+        counts = null_safe_join(counts, bounds, by)
+        counts = with_cell(counts, value, F.col("_cuts"), cells).drop("_cuts")
+    else:
+        counts = with_cell(counts, value, counts.agg(cut).scalar(), cells)
 
     per_cell = counts.groupBy(*by, "_cell").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
     group = Window.partitionBy(*by)
@@ -54,7 +70,7 @@ def prefix_sums(
         Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     )
     inside = counts.select("*", *[F.sum(n).over(running).alias(f"_c_{n}") for n in sums])
-    joined = inside.join(per_cell, [*by, "_cell"])
+    joined = null_safe_join(inside, per_cell, [*by, "_cell"])
     return joined.select(
         *by,
         value,

@@ -16,8 +16,7 @@ def _rows() -> Column:
 def value_shares(df: DataFrame, key: str) -> DataFrame:
     """Rows per value and their percentage of all rows."""
     counts = df.groupBy(key).agg(_rows().alias("n"))
-    # The window runs over the few distinct values, not over rows.
-    return counts.withColumn("percent", F.col("n") / F.sum("n").over(Window.partitionBy()) * 100)
+    return counts.withColumn("percent", F.col("n") / counts.agg(F.sum("n")).scalar() * 100)
 
 
 def duplicate_counts(df: DataFrame, key: str, by: str, order: str) -> DataFrame:
@@ -49,10 +48,10 @@ def flag_shares(df: DataFrame, by: str, flags: dict[str, Column]) -> DataFrame:
     )
 
 
-def crosstab(df: DataFrame, row: str, column: str, values: list[str], missing: str) -> DataFrame:
-    """Counts of two keys; the column's values are given, a NULL counts as `missing`."""
-    filled = df.withColumn(column, F.coalesce(column, F.lit(missing)))
-    return filled.groupBy(row).pivot(column, values).agg(_rows()).na.fill(0)
+def crosstab(df: DataFrame, row: str, column: str, missing: str) -> DataFrame:
+    """Counts (row, column, n) of all pairs of values found; a NULL counts as `missing`. Pivot it for
+    display, where the values are known to be few."""
+    return df.groupBy(row, F.coalesce(column, F.lit(missing)).alias(column)).agg(_rows().alias("n"))
 
 
 def crosstab_shares(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
@@ -85,8 +84,7 @@ def keys_in_all_classes(df: DataFrame, key: str, by: str) -> DataFrame:
 def top_per_class(df: DataFrame, key: str, by: str, k: int = 20) -> DataFrame:
     """The k most frequent keys per class: share of the class and cumulative share."""
     counts = df.groupBy(by, key).agg(_rows().alias("n"))
-    # Classes are few: their totals are a small table.
-    totals = df.groupBy(by).agg(_rows().alias("class_rows"))
+    totals = counts.groupBy(by).agg(F.sum("n").alias("class_rows"))
     order = Window.partitionBy(by).orderBy(F.col("n").desc(), key)
     top = counts.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
     percent = F.col("n") / F.col("class_rows") * 100

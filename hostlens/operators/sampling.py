@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostlens.functions.urlshape import md5_word
+from hostlens.operators.joins import null_safe_join
 from hostlens.sources.scratch import broadcast_if_small, durable
 
 CELL_BITS = 16
@@ -22,7 +23,7 @@ def with_hash_cut(
 ) -> DataFrame:
     """Add `taken`: TRUE for the first `take` rows per stratum by (md5 word, key).
 
-    `take` may use `n`, the rows of the stratum, and the strata columns. `key` is unique. The input
+    `take` may use `n`, the rows of the stratum, and the strata columns; NULL is a stratum. `key` is unique. The input
     is read three times, so it should be a stored table; the two small tables in between, of one
     row per stratum, are stored and broadcast after a check of their size.
     """
@@ -46,7 +47,7 @@ def with_hash_cut(
     # The cell that holds row k, one per stratum.
     edge = cells.where((F.col("_left") > 0) & (F.col("_left") <= F.col("_in_cell")))
     edge = broadcast_if_small(durable(edge.select(*strata, "_cell", "_left")))
-    in_edge = keyed.join(edge, [*strata, "_cell"])
+    in_edge = null_safe_join(keyed, edge, [*strata, "_cell"])
     ranked = in_edge.withColumn(
         "_rn",
         F.row_number().over(Window.partitionBy(*strata, "_cell").orderBy("_word", "_key")),
@@ -54,7 +55,7 @@ def with_hash_cut(
     cut = ranked.where(F.col("_rn") == F.col("_left")).select(
         *strata, F.struct("_word", "_key").alias("_cut")
     )
-    marked = rows.join(broadcast_if_small(durable(cut)), strata, "left")
+    marked = null_safe_join(rows, broadcast_if_small(durable(cut)), strata, "left")
     taken = F.struct(F.col("_word"), F.col(key).alias("_key")) <= F.col("_cut")
     return marked.select(*df.columns, F.coalesce(taken, F.lit(False)).alias("taken"))
 

@@ -56,7 +56,7 @@ def monitor(
     traffic: DataFrame,
     reference: DataFrame,
     threshold: float,
-    slice_rows: int | None = None,
+    slice_rows: int = drift.DAY_SIZE,
     n_null: int = drift.N_NULL,
     n_draws: int = 200,
     seed: int = 42,
@@ -65,8 +65,11 @@ def monitor(
     """All monitoring tables.
 
     `traffic`: request_id, day, probability, label and the features; `reference`: the same but
-    for `day`. What several results share is computed once (`persist`).
+    for `day`. What several results share is computed once (`persist`). A traffic row without its
+    label stops the run: it would silently leave realized precision and recall.
     """
+    if traffic.where(F.col("label").isNull()).limit(1).count():
+        raise ValueError("traffic has rows without a label; see label_coverage")
     keep = durable if persist else (lambda df: df)
     sliced = keep(drift.slices(reference, "request_id", slice_rows, n_null, seed))
     null_scores = keep(drift.slice_scores(sliced, reference))

@@ -125,7 +125,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = "conv(substr(md5(CAST(event_id AS STRING)), 1, 8), 16, 10) / 4294967296D"
     events = spread(table(spark, sf_dir, "events").drop("props")).selectExpr(
         "CAST(event_id AS STRING) AS request_id", "event_id", "CAST(ts AS TIMESTAMP) AS timestamp", "event_type AS source",
-        "least(value / 100, 1.0D) AS probability", f"{u} AS u",
+        "value / (value + 50) AS probability", f"{u} AS u",
     )
     honest = F.when(F.dayofmonth("timestamp") > 20, 0.5).otherwise(1.0)
     events = events.withColumn(

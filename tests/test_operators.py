@@ -299,3 +299,41 @@ def test_duplicates_per_class(spark):
     df = spark.createDataFrame(rows, "url string, label int, i int")
     got = {r.label: r.n_duplicates for r in profile.duplicate_counts(df, "url", "label", "i").collect()}
     assert got == {1: 1, 0: 2}
+
+
+def test_null_groups_and_strata_keep_their_rows(spark):
+    rows = [(None if i % 5 == 0 else f"g{i % 37}", i % 2, str(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, label int, id string").repartition(4)
+    for many in (df, df.where("g IS NULL OR id < '15'")):  # NULL as a big and as a small group
+        folded = grouped_folds(many, "g", "label", k=5)
+        assert folded.count() == many.count()
+        assert folded.where("g IS NULL").select("fold").distinct().count() == 1
+    taken = sampling.stratified_holdout(df, "g", "id", 0.5)
+    assert taken.count() == 400 and taken.where("g IS NULL AND is_reference").count() == 40
+
+
+def test_slices_of_a_small_reference_fail(featured):
+    with pytest.raises(Exception, match="too few reference rows"):
+        drift.slices(featured.limit(30), "request_id", rows=40, n=2).count()
+
+
+def test_cells_follow_distinct_values(spark):
+    """90% equal scores and a narrow group: no cell holds above twice the mean of the values."""
+    r = rng()
+    rows = [("wide", 0.5)] * 9000 + [("wide", r.random()) for _ in range(1000)]
+    rows += [("narrow", 0.7 + r.random() / 10**6) for _ in range(1000)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    counts = df.groupBy("g", "v").count()
+    cells = 16
+    cuts = counts.groupBy("g").agg(F.percentile_approx("v", [i / cells for i in range(1, cells)], 10_000).alias("cuts"))
+    placed = prefix.with_cell(counts.join(cuts, "g"), "v", F.col("cuts"), cells)
+    sizes = [x["count"] for x in placed.groupBy("g", "_cell").agg(F.count("*").alias("count")).collect()]
+    assert len(sizes) == 2 * cells and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    sums = prefix.prefix_sums(df, "v", {"n": F.lit(1)}, ("g",), cells=cells)
+    assert {x["g"]: x["n"] for x in sums.groupBy("g").agg(F.max("cum_n").alias("n")).collect()} == {"wide": 10000, "narrow": 1000}
+
+
+def test_crosstab_keeps_every_value(spark):
+    rows = [("a", "x"), ("a", None), ("b", "odd"), ("a", "x")]
+    got = {tuple(x) for x in profile.crosstab(spark.createDataFrame(rows, "r string, c string"), "r", "c", "none").collect()}
+    assert got == {("a", "x", 2), ("a", "none", 1), ("b", "odd", 1)}

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from hostlens.llm import oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_secrets": oracles.SECRETS, "op10_warc": oracles.WARC}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 
 def _query(fn):

@@ -27,7 +27,7 @@ def _clean(spark, sf):
 def _benign(spark, sf, clean):
     phish = clean.where("label = 1")
     by = ds.BenignFilter.of(fx.list_b(spark, sf), fx.stress(spark), phish, TOP_N)
-    return ds.benign_hosts(fx.list_a(spark, sf), by)
+    return ds.benign_hosts(ds.tagged_hosts(fx.list_a(spark, sf), by), by)
 
 
 def _merged(spark, sf):

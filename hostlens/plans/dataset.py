@@ -142,21 +142,9 @@ class BenignFilter:
         )
 
 
-def benign_hosts(list_a: DataFrame, by: BenignFilter) -> DataFrame:
-    """(hostname, registered_domain): popular hosts with a subdomain, filtered and capped."""
-    hosts = _with_validity(ranked_hosts(list_a), by.rules).where("valid")
-    kept = (
-        hosts.join(by.top, "registered_domain", "left_semi")
-        .join(by.tested, "registered_domain", "left_anti")
-        .join(by.phishing, "hostname", "left_anti")
-    )
-    capped = cap_per_group(kept, "registered_domain", ["rank", "hostname"], by.max_per_domain)
-    return capped.select("hostname", "registered_domain")
-
-
-def benign_ledger(list_a: DataFrame, by: BenignFilter) -> DataFrame:
-    """Rows removed and remaining per step: each host is tagged with the first step that drops
-    it, then one aggregate. Hosts over the cap are counted, not ranked."""
+def tagged_hosts(list_a: DataFrame, by: BenignFilter) -> DataFrame:
+    """(hostname, registered_domain, rank, dropped_by): every popular host with the first step that
+    drops it, 99 for none. Hosts and ledger both come from this one pass over the list."""
     mark = F.lit(True)
     hosts = (
         _with_validity(ranked_hosts(list_a), by.rules)
@@ -169,7 +157,19 @@ def benign_ledger(list_a: DataFrame, by: BenignFilter) -> DataFrame:
         .when(F.col("in_phishing").isNotNull(), 3).when(F.col("in_stress").isNotNull(), 4)
         .otherwise(99)
     )
-    tagged = hosts.select("registered_domain", dropped_by.alias("dropped_by"))
+    return hosts.select("hostname", "registered_domain", "rank", dropped_by.alias("dropped_by"))
+
+
+def benign_hosts(tagged: DataFrame, by: BenignFilter) -> DataFrame:
+    """(hostname, registered_domain): popular hosts with a subdomain that no step drops, capped."""
+    kept = tagged.where(F.col("dropped_by") == 99)
+    capped = cap_per_group(kept, "registered_domain", ["rank", "hostname"], by.max_per_domain)
+    return capped.select("hostname", "registered_domain")
+
+
+def benign_ledger(tagged: DataFrame, by: BenignFilter) -> DataFrame:
+    """Rows removed and remaining per step, in one aggregate. Hosts over the cap are counted, not
+    ranked."""
     per_domain = tagged.groupBy("registered_domain", "dropped_by").agg(F.count(F.lit(1)).alias("n"))
     kept = F.when(F.col("dropped_by") == 99, F.least("n", F.lit(by.max_per_domain))).otherwise(0)
     after = [
@@ -220,7 +220,7 @@ class Dataset:
     """The merged hosts; the split and the ledger are worked out when first asked for."""
 
     summary: DataFrame
-    list_a: DataFrame
+    tagged: DataFrame
     by: BenignFilter
     merged: MergedHosts
     folds: int
@@ -240,7 +240,7 @@ class Dataset:
         """part, step_no, step, removed, remaining of all steps."""
         return (
             clean_ledger(self.summary)
-            .unionByName(benign_ledger(self.list_a, self.by))
+            .unionByName(benign_ledger(self.tagged, self.by))
             .unionByName(self.merged.ledger)
         )
 
@@ -262,8 +262,9 @@ def build_dataset(
     primary = with_registered_domain(clean_hosts(summary), rules=rules)
     phishing = primary.where(F.col("label") == 1)
     by = BenignFilter.of(list_b, stress, phishing, top_n, max_per_domain, rules)
-    merged = merge_sources(primary, benign_hosts(list_a, by))
-    return Dataset(summary, list_a, by, merged, folds, seed)
+    tagged = durable(tagged_hosts(list_a, by))  # the popularity list is read once
+    merged = merge_sources(primary, benign_hosts(tagged, by))
+    return Dataset(summary, tagged, by, merged, folds, seed)
 
 
 def shared_domains(rows: DataFrame) -> DataFrame:

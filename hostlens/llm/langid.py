@@ -15,10 +15,11 @@ from hostlens.llm.common import arrow_batches, text_or_empty
 BUCKETS = 1 << 15
 DIM = 16
 LONGEST = 4  # letters of a subword
-PER_LANGUAGE = 1000  # labelled rows of each language that the model is fitted on, at most
+PER_LANGUAGE = 500  # labelled rows of each language that the model is fitted on, at most
+SHORT = 8  # words of a short piece
 CALIBRATION = 0.2
 KEEP_RIGHT = 0.999  # share of right calibration predictions that rejection must keep
-MOST = 0.4  # largest rejection threshold
+MOST = 0.35  # largest rejection threshold
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -77,15 +78,16 @@ class LanguageModel:
 
 
 def _pieces(text: str) -> list[np.ndarray]:
-    """The whole text, and up to four consecutive pieces that make it up, so short texts are learnt."""
+    """The whole text, and four short pieces spread over it, so that short texts are learnt too."""
     words = text.split()
-    size = max(4, -(-len(words) // 4))
-    parts = [text] if len(words) <= size else [text, *(" ".join(words[i : i + size]) for i in range(0, len(words), size))]
+    parts = [text]
+    if len(words) > 2 * SHORT:
+        parts += [" ".join(words[i : i + SHORT]) for i in np.linspace(0, len(words) - SHORT, 4).astype(int)]
     return [b for b in map(subwords, parts) if len(b)]
 
 
 def sample(docs: DataFrame, trained_on: Column, text: str, lang: str, doc_id: str, per_language: int) -> DataFrame:
-    """(lang, order, rows of bucket counts) of at most `per_language` labelled rows per language: those
+    """(lang, order, packed bucket shares) of at most `per_language` labelled rows per language: those
     with the smallest hash of their text and id."""
     rows = docs.where(trained_on & F.col(lang).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), text_or_empty(text).alias("text"),
@@ -97,15 +99,23 @@ def sample(docs: DataFrame, trained_on: Column, text: str, lang: str, doc_id: st
     first = Window.partitionBy("lang").orderBy("order", "text")
     few = few.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language)
 
-    @F.pandas_udf("array<struct<at:array<int>,n:array<int>>>")
+    @F.pandas_udf("array<binary>")
     def vectors(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [
-            dict(zip(("at", "n"), (x.tolist() for x in np.unique(b, return_counts=True)))) for b in _pieces(t)
-        ])
+        return texts.map(lambda t: [_packed(b) for b in _pieces(t)])
 
     return few.select("lang", "order", vectors("text").alias("vectors"))
 
 
+def _packed(buckets: np.ndarray) -> bytes:
+    at, n = np.unique(buckets, return_counts=True)
+    return at.astype("<u2").tobytes() + (n / n.sum()).astype("<f4").tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    k = len(data) // 6
+    return np.frombuffer(data, "<u2", k).astype(np.int32), np.frombuffer(data, "<f4", k, 2 * k)
+
+
 def fit(
     docs: DataFrame, trained_on: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
     per_language: int = PER_LANGUAGE, epochs: int = 6, rate: float = 2.0, seed: int = 7,
@@ -114,20 +124,17 @@ def fit(
 
     Stochastic gradient descent in numpy on mean bucket embeddings; a fifth of the sample is held
     back to fit the temperature and the rejection threshold: the largest calibrated probability, at
-    most 0.4, that keeps 99.9% of the right predictions. Without labelled rows every text is `und`.
+    most 0.35, that keeps 99.9% of the right predictions. Without labelled rows every text is `und`.
     """
     arrow_batches(docs.sparkSession)
-    got = sample(docs, trained_on, text, lang, doc_id, per_language).collect()
-    got.sort(key=lambda r: (r["lang"], r["order"]))
-    names = sorted({r["lang"] for r in got})
+    got = sample(docs, trained_on, text, lang, doc_id, per_language).toPandas().sort_values(["lang", "order"])
+    names = sorted(set(got["lang"]))
     if not names:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
     kept, held = [], []
-    for k, r in enumerate(got):
-        for v in r["vectors"]:
-            n = np.array(v["n"], float)
-            into = held if k % round(1 / CALIBRATION) == 0 else kept
-            into.append((np.array(v["at"]), n / n.sum(), names.index(r["lang"])))
+    for k, (name, packed) in enumerate(zip(got["lang"], got["vectors"])):
+        for v in packed:
+            (held if k % round(1 / CALIBRATION) == 0 else kept).append((*_unpacked(v), names.index(name)))
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (BUCKETS, DIM))
     weights, bias = rng.normal(0, 0.1, (DIM, len(names))), np.zeros(len(names))

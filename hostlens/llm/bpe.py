@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import arrow_batches, bucketed, id_and_text
+from hostlens.llm.common import arrow_batches, bucketed, give_back, id_and_text
 
-CHUNK_MB = 64
+CHUNK_MB = 16
+TOGETHER = 2000  # words that the tokenizer takes at a time
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 # Fixed value: how the byte-level vocabularies cut a text into words, blanks as Unicode has them.
@@ -66,78 +68,117 @@ def _quoted(literal: str) -> str:
     return "".join(f"\\{c}" if not c.isalnum() else c for c in literal)
 
 
-def _pack(numbers: np.ndarray) -> bytes:
-    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte of equal weight, which packs well."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def positions(docs: DataFrame, special: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _pack(*parts: bytes) -> bytes:
+    sizes = np.array([len(parts), *map(len, parts)], "<i8").tobytes()
+    return zstandard.compress(sizes + b"".join(parts), 3)
+
+
+def _unpack(packed: bytes) -> list[bytes]:
+    data = zstandard.decompress(packed)
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    ends = np.cumsum(np.frombuffer(data, "<i8", n, 8)) + 8 * (n + 1)
+    return [data[e - s : e] for s, e in zip(np.frombuffer(data, "<i8", n, 8), ends)]
+
+
+def positions(
+    docs: DataFrame, special: list[str], parts: int, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """Texts as word numbers. Two kinds of rows: per document (chunk, doc_id, numbers), and per chunk
-    (chunk, words), the words that the numbers count, most frequent first. A chunk is one Arrow batch,
-    bounded in bytes."""
+    and part of the word table (chunk, part, cell): a cell holds the chunk's distinct words that hash
+    to the part, with their numbers. A chunk is one Arrow batch, bounded in bytes; its most frequent
+    words have the smallest numbers."""
     arrow_batches(docs.sparkSession, CHUNK_MB)
     rows = id_and_text(docs, doc_id, text).select("doc_id", words_of(F.col("text"), special).alias("words"))
     kind = rows.schema["doc_id"].dataType
-    schema = f"chunk long, doc_id {kind.simpleString()}, numbers binary, words array<string>"
-    names = ["chunk", "doc_id", "numbers", "words"]
+    schema = f"chunk long, doc_id {kind.simpleString()}, numbers binary, part int, cell binary"
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for n, part in enumerate(parts):
-            lists = part.column("words")
+        for n, batch in enumerate(batches):
+            lists = batch.column("words")
             coded = lists.flatten().dictionary_encode()
             at = coded.indices.to_numpy(zero_copy_only=False)
             order = np.argsort(-np.bincount(at, minlength=len(coded.dictionary)), kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
-            at, words = rank[at], coded.dictionary.take(pa.array(order))
+            at = rank[at]
+            words = coded.dictionary.cast(pa.binary()).take(pa.array(order)).to_pylist()
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
-            packed = [_pack(at[e - s : e]) for s, e in zip(sizes, ends)]
-            chunk, k, ids = (task << 24) + n, len(packed), part.column("doc_id")
+            packed = [_pack(_planes(at[e - s : e])) for s, e in zip(sizes, ends)]
+            chunk, k, ids = (task << 24) + n, len(packed), batch.column("doc_id")
             yield pa.RecordBatch.from_arrays(
                 [pa.array([chunk] * k, pa.int64()), ids, pa.array(packed, pa.binary()),
-                 pa.nulls(k, pa.list_(pa.string()))], names,
+                 pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names,
             )
-            whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+            part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
+            by_part = np.argsort(part, kind="stable")
+            cells, of = [], []
+            for numbers in np.split(by_part, np.flatnonzero(np.diff(part[by_part])) + 1):
+                if len(numbers):
+                    own = [words[i] for i in numbers.tolist()]
+                    cells.append(_pack(
+                        _planes(np.diff(numbers, prepend=0)), _planes(np.fromiter(map(len, own), np.uint32, len(own))),
+                        b"".join(own),
+                    ))
+                    of.append(int(part[numbers[0]]))
+            k = len(cells)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), pa.nulls(1, ids.type), pa.nulls(1, pa.binary()), whole], names
+                [pa.array([chunk] * k, pa.int64()), pa.nulls(k, ids.type), pa.nulls(k, pa.binary()),
+                 pa.array(of, pa.int32()), pa.array(cells, pa.binary())], names,
             )
+            del lists, coded, words, cells, packed
+            give_back()
 
     return rows.mapInArrow(run, schema)
 
 
-def encode_words(wanted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(chunk, no, ids) for (chunk, no, word) rows that are sorted by word within partitions: each run
-    of one word is encoded once. ids are packed as 16-bit numbers, or 32-bit with more pieces."""
-    shared = wanted.sparkSession.sparkContext.broadcast(vocabulary.text)  # one vocabulary file
+def encode_cells(cells: DataFrame, vocabulary: Vocabulary, parts: int) -> DataFrame:
+    """(of_chunk, cell) for (chunk, part, cell) rows: cells with ids in place of words.
+
+    A part of the word table is in one task: its distinct words are encoded once, as they first come.
+    What a task holds is its share of the distinct words, so it falls with the number of parts.
+    """
+    shared = cells.sparkSession.sparkContext.broadcast(vocabulary.text)  # one vocabulary file
     kind = vocabulary.id_type
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        tokenizer = None
-        for part in parts:
-            if tokenizer is None:
-                tokenizer = Tokenizer.from_str(shared.value)
-                tokenizer.no_truncation()
-                tokenizer.no_padding()
-            coded = part.column("word").dictionary_encode()  # the runs of this batch
-            words = coded.dictionary.to_pylist()
-            ids = [
-                np.array(e.ids, kind).tobytes()
-                for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("chunk"), part.column("no"), pa.array(ids, pa.binary()).take(coded.indices)],
-                ["chunk", "no", "ids"],
-            )
-
-    return wanted.mapInArrow(run, "chunk long, no int, ids binary")
+        tokenizer, table = None, {}
+        for batch in batches:
+            out = []
+            for cell in batch.column("cell"):
+                if tokenizer is None:
+                    tokenizer = Tokenizer.from_str(shared.value)
+                    tokenizer.no_truncation()
+                    tokenizer.no_padding()
+                numbers, sizes, data = _unpack(cell.as_py())
+                ends = np.cumsum(_numbers(sizes)).tolist()
+                words = [data[a:b] for a, b in zip([0, *ends], ends)]
+                new = [w for w in words if w not in table]
+                for k in range(0, len(new), TOGETHER):
+                    some = new[k : k + TOGETHER]
+                    coded = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+                    table.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(some, coded))
+                ids = [table[w] for w in words]
+                out.append(_pack(numbers, _planes(np.fromiter(map(len, ids), np.uint32, len(ids))), b"".join(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(out, pa.binary())], ["of_chunk", "cell"])
+        table.clear()
+        give_back()
+
+    return cells.repartition(parts, "part").mapInArrow(run, "of_chunk long, cell binary")
 
 
 def byte_letters() -> dict[str, int]:
@@ -148,31 +189,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def pieces_of(found: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """The id-to-piece join: each row of `found` (chunk, no, ids) with the bytes its ids stand for.
-
-    The piece table has one row per vocabulary entry, which bounds it, so it is joined on the map
-    side: broadcast, and taken by id for a batch of rows at a time."""
+def piece_table(vocabulary: Vocabulary) -> list[bytes]:
+    """The bytes of each id; one row per vocabulary entry bounds it."""
     letters, special = byte_letters(), set(vocabulary.special)
-    table: list[bytes] = [b""] * (max(vocabulary.pieces.values()) + 1)
+    table = [b""] * (max(vocabulary.pieces.values(), default=-1) + 1)
     for piece, i in vocabulary.pieces.items():
         table[i] = piece.encode() if piece in special else bytes(letters[c] for c in piece)
-    shared, kind = found.sparkSession.sparkContext.broadcast(table), vocabulary.id_type
+    return table
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pa.array(shared.value, pa.large_binary())
-        for part in parts:
-            ids = part.column("ids")
-            flat = np.frombuffer(b"".join(ids.to_pylist()), kind)
-            offsets = np.cumsum(np.r_[0, pc.binary_length(ids).to_numpy() // np.dtype(kind).itemsize])
-            joined = pc.take(pieces, pa.array(flat.astype(np.int64)))
-            lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), joined)
-            text = pc.binary_join(lists, pa.scalar(b"", pa.large_binary())).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("chunk"), part.column("no"), ids, text], ["chunk", "no", "ids", "text"]
-            )
 
-    return found.mapInArrow(run, "chunk long, no int, ids binary, text binary")
+def decode(ids: np.ndarray, pieces: pa.Array) -> str:
+    """Join ids to pieces and read the bytes as UTF-8."""
+    found = pieces.take(pa.array(ids.astype(np.int64)))
+    data = found.buffers()[2]
+    return data.to_pybytes().decode("utf-8", "replace") if len(found) and data is not None else ""
 
 
 def encode_documents(
@@ -181,48 +211,56 @@ def encode_documents(
 ) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), and if asked for the ids and the decoded text.
 
-    Every text is cut into words; the words of each chunk of documents, once each, are brought
-    together by word, encoded once per distinct word and decoded by the id-to-piece join; the results
-    go back to their chunk and are put into the documents by position. The word numbers are stored
-    in buckets by chunk, so they are not shuffled. NULL and empty texts have no ids. Each input row
-    gives one row. A frequent word is one row per chunk, so no word is a hot key.
+    Every text is cut into words. The distinct words of each chunk of documents go to the table of
+    distinct words, which is spread over tasks by hash and encodes each word once; the ids come back
+    to the chunk and are put into the documents by position. Decoding joins every document's ids to
+    the broadcast id-to-piece table. Word numbers are stored in buckets by chunk, so they are not
+    shuffled; words travel packed, once per chunk, so no frequent word is a hot key. NULL and empty
+    texts have no ids. Each input row gives one row.
     """
     spark = docs.sparkSession
-    stored = bucketed(positions(docs, vocabulary.special, doc_id, text), "chunk")
-    wanted = stored.where("words IS NOT NULL").select("chunk", F.posexplode("words").alias("no", "word"))
-    by_word = wanted.repartition("word").sortWithinPartitions("word")
-    arrow_batches(spark, CHUNK_MB)
-    found = pieces_of(encode_words(by_word, vocabulary), vocabulary).withColumnRenamed("chunk", "of_chunk")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = bucketed(positions(docs, vocabulary.special, parts, doc_id, text), "chunk")
+    found = encode_cells(stored.where("cell IS NOT NULL").select("chunk", "part", "cell"), vocabulary, parts)
     rows = stored.where("numbers IS NOT NULL").select("chunk", "doc_id", "numbers")
     doc_kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {doc_kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += "".join(f", {c} {'array<int>' if c == 'ids' else 'string'}" for c in also)
-    kind = vocabulary.id_type
+    shared, kind = spark.sparkContext.broadcast(piece_table(vocabulary)), vocabulary.id_type
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        n = right.num_rows
-        count, ids, raw = np.zeros(n, np.int64), np.empty(n, object), np.empty(n, object)
-        at = right.column("no").to_numpy()
-        packed = right.column("ids").to_pylist()
-        count[at] = np.fromiter(map(len, packed), np.int64, n) // np.dtype(kind).itemsize
-        flat = np.frombuffer(b"".join(packed), kind).tolist()
-        end = 0
-        for no, size, piece in zip(at.tolist(), count[at].tolist(), right.column("text").to_pylist()):
-            ids[no], raw[no] = ",".join(map(str, flat[end : end + size])), piece
-            end += size
+        cells = [_unpack(c.as_py()) for c in right.column("cell")]
+        numbers = [np.cumsum(_numbers(c[0])).astype(np.int64) for c in cells]
+        counts = [_numbers(c[1]).astype(np.int64) // np.dtype(kind).itemsize for c in cells]
+        n = sum(map(len, numbers))
+        start, size, written = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, object)
+        begin = 0
+        for no, count, cell in zip(numbers, counts, cells):
+            ends = np.cumsum(count)
+            start[no], size[no] = begin + ends - count, count
+            begin += int(count.sum())
+            text = list(map(str, np.frombuffer(cell[2], kind).tolist()))
+            written[no] = [",".join(text[e - c : e]) for e, c in zip(ends.tolist(), count.tolist())]
+        flat = np.frombuffer(b"".join(c[2] for c in cells), kind)
+        del cells
+        pieces = pa.array(shared.value, pa.large_binary())
         out: dict[str, list] = {name: [] for name in names[1:]}
-        for packed_row in left.column("numbers").to_pylist():
-            numbers = _unpack(packed_row)
-            all_ids = ",".join(ids[numbers].tolist())
-            decoded = b"".join(raw[numbers].tolist()).decode("utf-8", "replace")
-            out["n_tokens"].append(int(count[numbers].sum()))
-            out["ids_sha256"].append(hashlib.sha256(all_ids.encode()).hexdigest())
+        for packed in left.column("numbers"):
+            words = _numbers(_unpack(packed.as_py())[0])
+            each = size[words]
+            at = np.arange(each.sum()) + np.repeat(start[words] - np.cumsum(each) + each, each)
+            ids = flat[at]
+            decoded = decode(ids, pieces)
+            out["n_tokens"].append(len(ids))
+            out["ids_sha256"].append(hashlib.sha256(",".join(written[words].tolist()).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
             if "ids" in out:
-                out["ids"].append([int(i) for i in all_ids.split(",")] if all_ids else [])
+                out["ids"].append(ids.astype(np.int32))
             if "decoded" in out:
                 out["decoded"].append(decoded)
-        columns = [left.column("doc_id"), *(pa.array(out[n], types[n]) for n in names[1:])]
+        columns = [left.column("doc_id"), *(pa.array(out.pop(n), types[n]) for n in names[1:])]
+        del written, flat, start, size
+        give_back()
         return pa.table(columns, names)
 
     names = [c.split()[0] for c in schema.split(", ")]

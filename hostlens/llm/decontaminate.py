@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import arrow_batches, id_and_text, text_or_empty
+from hostlens.llm.common import arrow_batches, give_back, id_and_text, text_or_empty
 
 Q = 7  # code points of a q-gram
 RATE = 0.12  # edits per code point of a benchmark text
@@ -322,6 +322,7 @@ def _clean(shared, overlap: int):
         for where, windows in _groups(texts.tolist(), overlap, len(shared.value.ids)):
             for w, *_ in find(shared.value, windows):
                 ok[where[w][0]] = False
+        give_back()
         return pd.Series(ok)
 
     return clean

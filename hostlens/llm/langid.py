@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hostlens.llm.common import arrow_batches, text_or_empty
+from hostlens.llm.common import arrow_batches, give_back, text_or_empty
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -178,7 +178,9 @@ def predictor(model: LanguageModel):
     """A column function of a text: struct (lang_pred, score, rejected)."""
     @F.pandas_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
+        found = pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
+        give_back()
+        return found
 
     return predict
 

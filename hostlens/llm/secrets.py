@@ -138,7 +138,7 @@ def mask_secrets(
     ).dropDuplicates(["_key"])
     keyed = docs.withColumn("_key", key(F.col(f"`{doc_id}`"), F.xxhash64(text_or_empty(text))))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    found = keyed.join(hits, "_key", "left")
+    found = keyed.join(hits.hint("shuffle_hash"), "_key", "left")
     new = masked(F.col(f"`{text}`"), F.coalesce("_live", none), mask)
     columns = {c: F.col(f"`{c}`") for c in docs.columns} | {text: new.alias(text)}
     out = found.select(*columns.values())

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import arrow_batches, id_and_text, lookup, text_or_empty
+from hostlens.llm.common import arrow_batches, give_back, id_and_text, lookup, text_or_empty
 from hostlens.llm.graph import components
 from hostlens.sources.scratch import durable
 
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 [part.column("doc_id"), part.column("text_hash"), pa.array(bits.view(np.int64))],
                 ["doc_id", "text_hash", "fp"],
             )
+            give_back()
 
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
@@ -186,10 +187,12 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     def key(of: str, hash_of: Column) -> Column:
         return F.concat_ws(":", F.coalesce(F.col(of).cast("string"), F.lit("")), F.col(of).isNull(), hash_of)
 
-    kept = near_duplicates(docs, doc_id, text).where("keep").select(
+    kept = durable(near_duplicates(docs, doc_id, text).where("keep").groupBy(
         key("doc_id", F.col("text_hash")).alias("_key")
-    ).distinct()
+    ).agg(F.count("*").alias("_rows")))
     keyed = docs.withColumn("_key", key(f"`{doc_id}`", F.xxhash64(text_or_empty(text))))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*[
-        F.col(f"`{c}`") for c in docs.columns
-    ])
+    # The narrow side is hashed, so that texts are neither sorted nor held.
+    one = keyed.join(kept.select("_key").hint("shuffle_hash"), "_key", "left_semi")
+    if kept.where("_rows > 1").limit(1).count():  # rows repeated with id and text
+        one = one.dropDuplicates(["_key"])
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns])

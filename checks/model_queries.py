@@ -1,6 +1,6 @@
 """Training, comparison and persistence of the models, on the dataset built from the URLs.
 
-The registered runs grow few trees; the library's default is 300. Weights cannot be compared with SQL,
+All runs have the library's settings: 300 trees, and one comparison that all queries share. Weights cannot be compared with SQL,
 but facts about them can: the optimum of the regression, scores by folds that exclude a row, and
 equal scores from batch, stream and a plain join.
 """
@@ -20,7 +20,6 @@ from hostlens.plans import training as tr
 from hostlens.sources import fixtures as fx
 from hostlens.sources.scratch import durable, scratch_path
 
-SMALL = {"trees": 4, "depth": tr.TREE_DEPTH, "iterations": tr.LR_ITERATIONS}
 K = 5
 GRADIENT = 1e-3  # largest slope of the mean loss that counts as none
 
@@ -38,13 +37,13 @@ def folded(spark, sf):
 
 
 def champion(spark, sf):
-    return shared("champion", spark, sf, lambda: tr.train_champion(folded(spark, sf), k=K, **SMALL))
+    return shared("champion", spark, sf, lambda: tr.Champion.of(comparison(spark, sf)))
 
 
 def comparison(spark, sf):
     return shared(
         "comparison", spark, sf,
-        lambda: tr.compare_models(rows(spark, sf), fx.stress(spark), K, **SMALL),
+        lambda: tr.compare_models(rows(spark, sf), fx.stress(spark), K),
     )
 
 
@@ -74,7 +73,7 @@ def t2(spark, sf):
 @query("t3_ngram_logistic")
 def t3(spark, sf):
     train = folded(spark, sf)
-    return tr.predict(tr.fit_ngram(train, iterations=SMALL["iterations"]), train).select("hostname", "label", "probability")
+    return tr.predict(tr.fit_ngram(train), train).select("hostname", "label", "probability")
 
 
 @query("t3_optimum_of_the_regression", oracle("""
@@ -83,7 +82,7 @@ def t3b(spark, sf):
     """The loss is strictly convex, so a vanishing gradient proves the fit; scores by a join of grams
     with their weights must equal the model's."""
     train = folded(spark, sf).select("hostname", "label")
-    model = tr.fit_ngram(train, iterations=SMALL["iterations"])
+    model = tr.fit_ngram(train)
     fit = model.stages[-1]
     grams = list(zip(model.stages[1].vocabulary, model.stages[3].getScalingVec().toArray().tolist(), fit.coefficients.toArray().tolist()))
     weights = spark.createDataFrame(grams, "gram STRING, idf DOUBLE, coef DOUBLE")
@@ -123,7 +122,7 @@ def t5b(spark, sf):
 @query("t4_boosted_trees")
 def t4(spark, sf):
     train = folded(spark, sf)
-    model = tr.fit_boosted(train, trees=SMALL["trees"], depth=SMALL["depth"])
+    model = tr.fit_boosted(train)
     return tr.predict(model, train).select("hostname", "label", "probability")
 
 

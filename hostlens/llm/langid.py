@@ -19,7 +19,6 @@ PER_LANGUAGE = 500  # labelled rows of each language that the model is fitted on
 SHORT = 8  # words of a short piece
 CALIBRATION = 0.2
 KEEP_RIGHT = 0.999  # share of right calibration predictions that rejection must keep
-MOST = 0.35  # largest rejection threshold
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -123,8 +122,8 @@ def fit(
     """Fit on a bounded sample of the labelled rows where `trained_on` holds.
 
     Stochastic gradient descent in numpy on mean bucket embeddings; a fifth of the sample is held
-    back to fit the temperature and the rejection threshold: the largest calibrated probability, at
-    most 0.35, that keeps 99.9% of the right predictions. Without labelled rows every text is `und`.
+    back to fit the temperature and the rejection threshold: the largest calibrated probability that
+    keeps 99.9% (`KEEP_RIGHT`) of the right predictions. Without labelled rows every text is `und`.
     """
     arrow_batches(docs.sparkSession)
     got = sample(docs, trained_on, text, lang, doc_id, per_language).toPandas().sort_values(["lang", "order"])
@@ -170,7 +169,7 @@ def fit(
         p = calibrated(model.temperature)
         right = np.sort(p.max(1)[p.argmax(1) == truth])
         if len(right):
-            model.threshold = float(min(MOST, right[int((1 - KEEP_RIGHT) * len(right))]))
+            model.threshold = float(right[int((1 - KEEP_RIGHT) * len(right))])
     return model
 
 

@@ -40,6 +40,7 @@ SIDE_WORDS = frozenset(
 )
 HEAD_WORDS = frozenset("header masthead notice alert".split())  # side matter outside an article only
 CONTENT_WORDS = frozenset("article content entry post story main".split())
+NEGATING = frozenset("with without no not non has have hide show is".split())  # with-sidebar names no sidebar
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ATTRIBUTES = re.compile(r"""(?:^|[\s"'])(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
@@ -61,7 +62,26 @@ class _Open:
     number: int
     inside: bool
     named: bool
-    side: bool
+    side: bool  # side evidence other than a form's
+    form: bool  # in a form, counted from the innermost article or main
+    within: bool  # side evidence since the innermost article or main was opened, or in a side tag
+    article: bool
+
+
+def _spared(out: list[TextBlock], marks: list[_Open]) -> list[TextBlock]:
+    """Side marks of the blocks without those of wrappers: a form around most of the page's text, and
+    a named element around articles that hold more text than all that is free of side evidence, if no
+    article stands outside of such elements."""
+    size = sum(len(b.text) for b in out)
+    forms = 2 * sum(len(b.text) for b, m in zip(out, marks) if m.form) <= size
+    for b, m in zip(out, marks):
+        b.side = m.side or (forms and m.form)
+    clean = sum(len(b.text) for b in out if not b.side)
+    lost = [b for b, m in zip(out, marks) if b.side and b.inside and not m.within and not (forms and m.form)]
+    if sum(len(b.text) for b in lost) > clean and not any(m.article and not b.side for b, m in zip(out, marks)):
+        for b in lost:
+            b.side = False
+    return out
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -80,7 +100,8 @@ def _tag_end(page: str, at: int) -> int:
 def blocks(page: str) -> list[TextBlock]:
     """Text blocks of a page in order: runs of text between block elements, white space collapsed."""
     out: list[TextBlock] = []
-    stack = [_Open("", 0, False, False, False)]
+    stack = [_Open("", 0, False, False, False, False, False, False)]
+    marks: list[_Open] = []
     text: list[str] = []
     linked = links = count = 0
     low = page.lower() if len(page.lower()) == len(page) else page
@@ -93,6 +114,7 @@ def blocks(page: str) -> list[TextBlock]:
             path = tuple(o.number for o in stack if o.tag in BLOCK)
             tag = next((o.tag for o in reversed(stack) if o.tag in BLOCK), "")
             out.append(TextBlock(words, path, tag, min(linked, len(words)), top.inside, top.named, top.side))
+            marks.append(top)
         text, linked = [], 0
 
     def close(k: int) -> None:
@@ -177,16 +199,27 @@ def blocks(page: str) -> list[TextBlock]:
         names: set[str] = set()
         if "=" in inner:
             for value in _ATTRIBUTES.findall(inner[len(tag):]):
-                names.update(w.lower() for w in _WORDS.findall(value))
-        inside = top.inside or tag in CONTENT_TAGS
-        side = top.side or tag in SIDE_TAGS or (tag not in ("html", "body") and bool(names & SIDE_WORDS)) or (
+                for token in value.split():
+                    words = [w.lower() for w in _WORDS.findall(token)]
+                    if words and words[0] not in NEGATING:
+                        names.update(words)
+        opens = tag in CONTENT_TAGS
+        inside = top.inside or opens
+        side_tag = tag in SIDE_TAGS and tag != "form"
+        own = side_tag or (tag not in ("html", "body") and bool(names & SIDE_WORDS)) or (
             not top.inside and (tag == "header" or (tag not in ("html", "body", "article", "main") and bool(names & HEAD_WORDS)))
         )
+        in_side_tag = any(o.tag in SIDE_TAGS and o.tag != "form" for o in stack) if opens else False
+        within = own or (in_side_tag if opens else top.within)
+        form = not opens and (top.form or tag == "form")
         count += 1
-        stack.append(_Open(tag, count, inside, top.named or bool(names & CONTENT_WORDS), side))
+        stack.append(_Open(
+            tag, count, inside, top.named or bool(names & CONTENT_WORDS), top.side or own, form, within,
+            top.article or tag == "article",
+        ))
         links += tag == "a"
     flush()
-    return out
+    return _spared(out, marks)
 
 
 def features(b: TextBlock) -> list[float]:

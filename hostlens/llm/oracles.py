@@ -43,3 +43,40 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
   CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to
 FROM p WINDOW w AS (PARTITION BY h)"""
+
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+tok AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM tok GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+every AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v))::BIGINT AS p FROM every JOIN size USING (lang)),
+q AS (SELECT lang, term, (1 + (1000000000::HUGEINT * (m + 5)) // (sum(m) OVER (PARTITION BY lang) + 5 * v))::BIGINT AS q
+      FROM (SELECT lang, term, sum(n) AS m FROM every GROUP BY ALL) JOIN size USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term) GROUP BY ALL),
+both_ AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM (SELECT DISTINCT lang, source FROM d) a JOIN (SELECT DISTINCT lang, source FROM d) b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_) WHERE part = 'pair' OR rank <= 50"""
+
+HARD_NEGATIVES = """
+WITH x AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM x a JOIN x b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+pos AS (SELECT anchor, anchor_id, r, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY pos.anchor, pos.r ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+  s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM pos JOIN s USING (anchor, anchor_id) WHERE NOT same AND 100 * s.score BETWEEN 80 * positive_score AND 100 * positive_score
+QUALIFY rank <= 5"""

@@ -11,7 +11,10 @@ import corpus_pipeline
 from hostlens.llm import oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op1_secrets": oracles.SECRETS, "op10_warc": oracles.WARC}
+ORACLES: dict[str, str] = {
+    "op1_secrets": oracles.SECRETS, "op10_warc": oracles.WARC, "op11_divergence": oracles.DIVERGENCE,
+    "op12_hard_negatives": oracles.HARD_NEGATIVES,
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
 
@@ -100,3 +103,21 @@ def op6_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = _table(spark, sf_dir, "pages")
     return extract(pages, fit(pages))
+
+
+@_query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostlens.llm.divergence import divergence
+
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostlens.llm.hardneg import mine
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"
+    )

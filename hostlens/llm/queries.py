@@ -121,3 +121,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0).select(
         "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"
     )
+
+
+@_query
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostlens.llm.suffixes import drop_repeats
+
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.stop - s.begin)
+    return drop_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

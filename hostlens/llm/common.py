@@ -28,6 +28,17 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for some statements only."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
 

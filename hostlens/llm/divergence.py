@@ -2,51 +2,103 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import arrow_batches
+from hostlens.llm.common import arrow_batches, give_back, setting
 from hostlens.sources.scratch import durable, scratch_path
 
-# Fixed value: a term is a run of ASCII letters and of anything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS = 30
 SMOOTH = 5
 UNIT = 1_000_000_000
 TOP = 50
 ALL_TERMS = 2**31 - 1  # the largest vocabSize: no term of the minimum document frequency is left out
-SLICE_TERMS = 1 << 17  # vocabulary of one fit at most, on average: what the driver and a broadcast hold
+TEXT_MB = 16
+SLICE_TERMS = 1 << 18  # vocabulary of one fit at most, on average: what the driver and a broadcast hold
+SIZED_BY = 32
 SOURCES, TERMS = 256, 4096  # groups and terms of a dense tile
 VECTOR = "counts struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def terms_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(text), F.lit(TERM), F.lit(0))
+def _letters() -> np.ndarray:
+    """What each byte of a text in UTF-8 becomes: 0 between terms, the lower case of A to Z, else itself."""
+    out = np.arange(256, dtype=np.uint8)
+    out[65:91] += 32
+    out[:65] = out[91:97] = out[123:128] = 0
+    return out
+
+
+def split_terms(texts: pa.StringArray) -> pa.ListArray:
+    """The terms of each text, all texts of a batch at once on their bytes."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    data = _letters()[data]
+    letter = data != 0
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    edges = at[:-1][at[:-1] < len(data)]
+    begins[edges] = letter[edges]  # a term ends with its text
+    starts = np.flatnonzero(begins)
+    size = np.add.reduceat(letter, starts, dtype=np.int32) if len(starts) else np.zeros(0, np.int32)
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data[letter]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, at).astype(np.int32)), words)
 
 
 def _text(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
-def tokens(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """(lang, source, terms) per row, stored: the terms of the whole text, repeats included."""
-    return durable(
-        docs.select(_text(lang).alias("lang"), _text(source).alias("source"), terms_of(_text(text)).alias("terms")),
-        compression="zstd",
-    )
+def _of(lang: Column) -> Column:
+    """A language's folder: any text is a name there."""
+    return F.hex(F.xxhash64(lang))
+
+
+class Tokens:
+    """(lang, source, terms) per row, stored by language: the terms of the whole text, repeats included."""
+
+    def __init__(self, docs: DataFrame, text: str, lang: str, source: str):
+        spark = docs.sparkSession
+        arrow_batches(spark, TEXT_MB)
+        names = docs.select(_text(lang).alias("lang"), _text(source).alias("source"), _text(text).alias("text"))
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                terms = split_terms(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("source"), terms], ["lang", "source", "terms"])
+                give_back()
+
+        self.path = scratch_path(spark, "terms")
+        rows = names.mapInArrow(run, "lang string, source string, terms array<string>").withColumn("of", _of(F.col("lang")))
+        with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "16"):  # few languages need no sort
+            rows.write.partitionBy("of").parquet(self.path)
+        self.rows = spark.read.schema("lang string, source string, terms array<string>, of string").parquet(self.path)
+        self.groups = durable(self.rows.groupBy("lang", "source").count())
+
+    def of(self, lang: str) -> DataFrame:
+        here = F.lit(lang)
+        return self.rows.where((F.col("of") == _of(here)) & (F.col("lang") == here)).select("source", "terms")
+
+
+def slices_of(rows: DataFrame, min_docs: int, slice_terms: int, part: int = SIZED_BY) -> int:
+    """Into how many slices the terms of a language are cut, so that each keeps about `slice_terms` at most.
+    Terms that occur often enough are counted among one in `part` by their hash; this sizes the work and
+    changes no result."""
+    words = rows.select(F.explode("terms").alias("term")).where(F.pmod(F.xxhash64("term"), F.lit(part)) == 0)
+    often = words.groupBy("term").count().where(F.col("count") >= min_docs).count()
+    return max(ceil(often * part / slice_terms), 1)
 
 
 def term_counts(
-    rows: DataFrame, min_docs: int = MIN_DOCS, slice_terms: int = SLICE_TERMS
+    tokens: Tokens, min_docs: int = MIN_DOCS, slice_terms: int = SLICE_TERMS
 ) -> tuple[DataFrame, DataFrame]:
     """Vocabulary (lang, slice, index, term), and (lang, slice, index, source, n): the occurrences of each
     kept term in each group that has it.
@@ -56,18 +108,22 @@ def term_counts(
     vocabulary passes through the driver, so a language whose kept terms are more than `slice_terms` is
     cut by a hash of the term: every slice has a fit of its own, and no term is in two.
     """
-    spark = rows.sparkSession
-    distinct = rows.select("lang", F.explode(F.array_distinct("terms")).alias("term"))
-    kept = distinct.groupBy("lang", "term").count().where(F.col("count") >= min_docs).groupBy("lang").count()
+    spark = tokens.rows.sparkSession
     vectors, words = scratch_path(spark, "vectors"), scratch_path(spark, "vocabulary")
     fits = 0
-    for lang, n in sorted(tuple(r) for r in kept.collect()):  # a row per language
-        slices = ceil(n / slice_terms)
+    for (lang,) in sorted(map(tuple, tokens.groups.select("lang").distinct().collect())):  # a row per language
+        whole = tokens.of(lang)
+        slices = slices_of(whole, min_docs, slice_terms)
         for k in range(slices):
-            part = rows.where(F.col("lang") == lang).select("source", "terms")
+            part = whole
             if slices > 1:
                 part = part.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(slices)) == k))
-            fit = CountVectorizer(inputCol="terms", outputCol="counts", minDF=min_docs, vocabSize=ALL_TERMS).fit(part)
+            try:
+                fit = CountVectorizer(inputCol="terms", outputCol="counts", minDF=min_docs, vocabSize=ALL_TERMS).fit(part)
+            except IllegalArgumentException as e:
+                if "vocabulary size" not in str(e):
+                    raise
+                continue  # no term of the slice has the documents
             here = F.lit(lang).alias("lang"), F.lit(k).alias("slice")
             fit.transform(part).select(*here, "source", "counts").write.mode("append").parquet(vectors)
             spark.createDataFrame(pa.table({
@@ -133,13 +189,12 @@ def divergence(
     are added up; a common term or a large source is only ever a count.
     """
     width, height = tile[1], tile[0]
-    arrow_batches(docs.sparkSession)
-    rows = tokens(docs, text, lang, source)
+    rows = Tokens(docs, text, lang, source)
     words, sums = term_counts(rows, min_docs, slice_terms)
     size = words.groupBy("lang").agg(F.count("*").alias("v"))
     totals = sums.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = durable(
-        rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(size, "lang", "left")
+        rows.groups.select("lang", "source").join(totals, ["lang", "source"], "left").join(size, "lang", "left")
         .na.fill(0, ["total", "v"])
         .withColumn("number", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
         .withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("lang")) / height).cast("int"))

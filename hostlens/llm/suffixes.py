@@ -23,8 +23,8 @@ from hostlens.sources.scratch import durable
 
 WINDOW = 200
 GRAM = 32
-CROWDED = 2000  # distinct pieces of one gram that a task takes; more are cut finer
-TASK_BYTES = 1 << 20  # pieces of one construction
+CROWDED = 400  # distinct pieces of one gram that a task takes; more are cut finer
+TASK_BYTES = 1 << 17  # pieces of one construction: its arrays fit a core's cache
 SEGMENT = 1 << 20  # windows of a long text at a time
 NARROWER = 4
 PIECE = ("key", "h1", "h2")
@@ -71,13 +71,16 @@ def repeated_windows(pieces: list[bytes], window: int = WINDOW) -> list[np.ndarr
         prefix = np.zeros(len(new), common.dtype)
         prefix[old] = shared[: len(old)]
         common[at[last]] = shared[len(old) :]
-        # Places after the insertion.
-        moved = np.cumsum(np.bincount(at, minlength=len(order) + 1))
+        # The places of old suffixes move up by the number of new ones at or before them.
+        slots = at + np.arange(len(at))
+        moved = np.repeat(np.arange(len(at) + 1), np.diff(at, prepend=0, append=len(order) + 1))
         order += moved[order & low]
         place += moved[place]
-        place[of] = at + np.arange(len(at))
-        order = np.insert(order, at, (symbol << shift) | (rest + moved[rest]))
-        common = np.insert(common, at, prefix)
+        place[of] = slots
+        stays = np.ones(len(order) + len(at), bool)
+        stays[slots] = False
+        order = _merged(order, stays, slots, (symbol << shift) | (rest + moved[rest]))
+        common = np.append(_merged(common[:-1], stays, slots, prefix), common.dtype.type(0))
     whole = common >= window
     hit = whole[:-1] | whole[1:]
     starts = np.maximum(size - window + 1, 0)
@@ -92,6 +95,13 @@ def repeated_windows(pieces: list[bytes], window: int = WINDOW) -> list[np.ndarr
     return out
 
 
+def _merged(old: np.ndarray, stays: np.ndarray, slots: np.ndarray, new: np.ndarray) -> np.ndarray:
+    out = np.empty(len(stays), old.dtype)
+    out[stays] = old
+    out[slots] = new
+    return out
+
+
 def _smallest(common: np.ndarray, after: np.ndarray, upto: np.ndarray) -> np.ndarray:
     """The smallest of common[after + 1 : upto + 1] for each pair."""
     if not len(after):

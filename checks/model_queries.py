@@ -126,6 +126,29 @@ def t4(spark, sf):
     return tr.predict(model, train).select("hostname", "label", "probability")
 
 
+@query("t4_scores_from_the_tree_table", oracle("""
+SELECT count(*) AS n_hosts, 0::BIGINT AS n_off, true AS loss_falls, 300::BIGINT AS n_trees FROM dataset WHERE split = 'train'""", "dataset"))
+def t4b(spark, sf):
+    """The scores follow from the stored trees alone: every host walks every tree by plain joins and
+    CASE, and the margins are summed. The training loss must fall with every tree."""
+    train = folded(spark, sf)
+    model = tr.fit_boosted(train)
+    trees = model.table(spark)
+    x = F.array(*[F.col(c).cast("double") for c in model.columns])
+    walk = train.select("hostname", x.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(tr.TREES - 1))).alias("tree"))
+    walk = walk.join(F.broadcast(trees), "tree").withColumn("i", F.lit(1))  # a row per tree
+    for _ in range(tr.TREE_DEPTH):
+        right = F.expr("CASE WHEN feature[i] >= 0 AND x[greatest(feature[i], 0)] >= threshold[i] THEN 1 ELSE 0 END")
+        walk = walk.withColumn("i", F.col("i") * 2 + right)
+    margins = walk.groupBy("hostname").agg(F.sum(F.expr("value[i]")).alias("margin"))
+    scored = tr.predict(model, train).select("hostname", "probability").join(margins, "hostname")
+    off = F.abs(F.col("probability") - 1 / (1 + F.exp(-F.col("margin")))) > 1e-9
+    return scored.agg(
+        F.count("*").alias("n_hosts"), F.sum(off.cast("bigint")).alias("n_off"),
+        F.lit(bool((model.loss[1:] < model.loss[:-1]).all())).alias("loss_falls"), F.lit(len(model.loss)).cast("bigint").alias("n_trees"),
+    )
+
+
 @query("t5_t7_model_comparison")
 def t7(spark, sf):
     return comparison(spark, sf).table()

@@ -7,10 +7,8 @@ from dataclasses import dataclass
 
 from pyspark import keyword_only
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, Normalizer, SQLTransformer, VectorAssembler,
-)
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
@@ -21,8 +19,9 @@ from pyspark.sql import functions as F
 from hostlens.functions.features import with_features
 from hostlens.functions.lists import BASE_FEATURES, FEATURES
 from hostlens.operators import metrics
+from hostlens.operators.boosting import Boosted, Fit as BoostedFit, fit_all
 from hostlens.operators.folds import grouped_folds
-from hostlens.sources.scratch import durable, scratch_root
+from hostlens.sources.scratch import durable
 
 # Model settings and versions.
 NGRAM_SIZES = (3, 4, 5)
@@ -136,33 +135,25 @@ def fit_ngram(
 def fit_boosted(
     train: DataFrame, columns: tuple[str, ...] = FEATURES, trees: int = TREES,
     depth: int = TREE_DEPTH,
-) -> PipelineModel:
-    scratch_root(train.sparkSession)  # checkpoints cut the lineage of the boosting rounds
-    assembler = VectorAssembler(inputCols=list(columns), outputCol="_features")
-    boosting = GBTClassifier(
-        featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth,
-        stepSize=LEARNING_RATE, seed=SEED, maxBins=256, checkpointInterval=10,
-    )
-    rows = train.select(*columns, F.col("label").cast("double"))
-    return PipelineModel([assembler, boosting.fit(assembler.transform(rows))])
+) -> Boosted:
+    fit = BoostedFit("all", tuple(columns))
+    return fit_all(train, [fit], trees, depth, LEARNING_RATE)[fit.name]
 
 
-def importance(model: PipelineModel) -> DataFrame:
-    """(feature, importance), one row per feature."""
-    assembler, trees = model.stages
-    values = trees.featureImportances.toArray().tolist()
-    rows = list(zip(assembler.getInputCols(), values))
-    spark = SparkSession.active()
-    return spark.createDataFrame(rows, "feature STRING, importance DOUBLE")
+def importance(model: Boosted) -> DataFrame:
+    """(feature, importance), one row per feature: its mean gain per split, as a share."""
+    return SparkSession.active().createDataFrame(model.importance(), "feature STRING, importance DOUBLE")
 
 
-def top_importance(model: PipelineModel, k: int = 15) -> DataFrame:
+def top_importance(model: Boosted, k: int = 15) -> DataFrame:
     return importance(model).orderBy(F.col("importance").desc(), "feature").limit(k)
 
 
-def predict(model: PipelineModel, df: DataFrame, output: str = "probability") -> DataFrame:
+def predict(model: PipelineModel | Boosted, df: DataFrame, output: str = "probability") -> DataFrame:
     """Add the probability of class 1; every partition is scored where it lies."""
     keep = [c for c in df.columns if c != output]
+    if isinstance(model, Boosted):
+        return model.score(df.select(*keep), output)
     scored = model.transform(df.select(*keep))
     return scored.select(*keep, vector_to_array("probability")[1].alias(output))
 
@@ -175,20 +166,24 @@ class Evaluation:
     oof: DataFrame
     test: DataFrame
     stress: DataFrame
-    model: PipelineModel
+    model: PipelineModel | Boosted
 
 
 def fit_eval(fit: Fit, train: DataFrame, test: DataFrame, stress: DataFrame, k: int = 5) -> Evaluation:
     """k fits on `fold != i` that score `fold = i`, and one on all rows."""
+    parts = [fit(train.where(F.col("fold") != i)) for i in range(k)]
+    return evaluate(parts, fit(train), train, test, stress)
+
+
+def evaluate(
+    parts: list[PipelineModel | Boosted], model: PipelineModel | Boosted, train: DataFrame, test: DataFrame, stress: DataFrame,
+) -> Evaluation:
+    """Scores of train by the model of `parts` that has not seen the row's fold, of the rest by `model`."""
     keep = [c for c in ("hostname", "label", "fold", "source") if c in train.columns]
-    parts = []
-    for i in range(k):
-        model = fit(train.where(F.col("fold") != i))
-        parts.append(predict(model, train.where(F.col("fold") == i)).select(*keep, "probability"))
-    oof = parts[0]
-    for part in parts[1:]:
-        oof = oof.unionByName(part)
-    model = fit(train)
+    oof = None
+    for i, part in enumerate(parts):
+        scored = predict(part, train.where(F.col("fold") == i)).select(*keep, "probability")
+        oof = scored if oof is None else oof.unionByName(scored)
     return Evaluation(
         durable(oof),
         durable(predict(model, test).select("hostname", "label", "source", "probability")),
@@ -197,6 +192,19 @@ def fit_eval(fit: Fit, train: DataFrame, test: DataFrame, stress: DataFrame, k:
     )
 
 
+def boosted_evaluations(
+    models: dict[str, tuple[str, ...]], train: DataFrame, test: DataFrame, stress: DataFrame, k: int = 5,
+    trees: int = TREES, depth: int = TREE_DEPTH,
+) -> dict[str, Evaluation]:
+    """`fit_eval` of boosted trees over several sets of columns; the k + 1 fits of each are grown together."""
+    fits = [BoostedFit(f"{name} {i}", columns, i) for name, columns in models.items() for i in range(k)]
+    fits += [BoostedFit(name, columns) for name, columns in models.items()]
+    grown = fit_all(train, fits, trees, depth, LEARNING_RATE)
+    return {
+        name: evaluate([grown[f"{name} {i}"] for i in range(k)], grown[name], train, test, stress) for name in models
+    }
+
+
 def with_ngram_column(df: DataFrame, scores: DataFrame) -> DataFrame:
     """Attach another model's probability by hostname, the row id of the host tables."""
     ngram = scores.select("hostname", F.col("probability").alias(NGRAM_COLUMN))
@@ -273,9 +281,12 @@ class Comparison:
         return long.unionByName(sources)
 
     def flagged_stress(self) -> DataFrame:
-        """Stress hosts at or above each model's threshold."""
-        hits = self._all("stress").join(F.broadcast(self.thresholds()), "model")
-        return hits.where("probability >= threshold").select("model", "hostname", "probability")
+        """(model, at, hostname, probability): stress hosts at or above each model's threshold (`fpr1`) and at
+        or above 0.5 (`t05`)."""
+        limits = self.thresholds().withColumn("at", F.lit("fpr1"))
+        limits = limits.unionByName(limits.withColumn("at", F.lit("t05")).withColumn("threshold", F.lit(DEFAULT_THRESHOLD)))
+        hits = self._all("stress").join(F.broadcast(limits), "model")  # two rows a model
+        return hits.where("probability >= threshold").select("model", "at", "hostname", "probability")
 
 
 def compare_models(
@@ -289,26 +300,19 @@ def compare_models(
     test = durable(with_features(rows.where("split = 'test'")))
     stress = durable(with_features(stress))
 
-    def boosted(columns):
-        return lambda df: fit_boosted(df, columns, trees, depth)
-
     def ngram(df):
         return fit_ngram(df, iterations=iterations)
 
-    found = {
-        "boosted_base": fit_eval(boosted(BASE_FEATURES), train, test, stress, k),
-        "boosted_all": fit_eval(boosted(FEATURES), train, test, stress, k),
-        "ngram_lr": fit_eval(ngram, train, test, stress, k),
-    }
-    base = found["ngram_lr"]
-    found["stacked"] = fit_eval(
-        boosted((*FEATURES, NGRAM_COLUMN)),
-        durable(with_ngram_column(train, base.oof)),
-        durable(with_ngram_column(test, base.test)),
-        durable(with_ngram_column(stress, base.stress)),
-        k,
+    base = fit_eval(ngram, train, test, stress, k)
+    boosted = boosted_evaluations(
+        {"boosted_base": BASE_FEATURES, "boosted_all": FEATURES, "stacked": (*FEATURES, NGRAM_COLUMN)},
+        durable(with_ngram_column(train, base.oof)), durable(with_ngram_column(test, base.test)),
+        durable(with_ngram_column(stress, base.stress)), k, trees, depth,
     )
-    return Comparison(found)
+    return Comparison({
+        "boosted_base": boosted["boosted_base"], "boosted_all": boosted["boosted_all"], "ngram_lr": base,
+        "stacked": boosted["stacked"],
+    })
 
 
 # --------------------------------------------------------------------------- champion
@@ -317,7 +321,7 @@ class Champion:
     """The stacked model with its threshold: hostname in, probability out."""
 
     ngram: PipelineModel
-    boosted: PipelineModel
+    boosted: Boosted
     threshold: float
     data_version: str = DATA_VERSION
     feature_version: str = FEATURE_VERSION
@@ -341,7 +345,7 @@ class Champion:
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.ngram.write().save(f"{path}/ngram")
-        self.boosted.write().save(f"{path}/boosted")
+        self.boosted.save(spark, f"{path}/boosted")
         row = [(self.threshold, self.data_version, self.feature_version)]
         spark.createDataFrame(
             row, "threshold DOUBLE, data_version STRING, feature_version STRING"
@@ -351,7 +355,7 @@ class Champion:
     def load(spark: SparkSession, path: str) -> "Champion":
         meta = spark.read.parquet(f"{path}/metadata").first()
         return Champion(
-            PipelineModel.load(f"{path}/ngram"), PipelineModel.load(f"{path}/boosted"),
+            PipelineModel.load(f"{path}/ngram"), Boosted.load(spark, f"{path}/boosted"),
             meta.threshold, meta.data_version, meta.feature_version,
         )
 
@@ -370,10 +374,11 @@ def train_champion(
         oof = part if oof is None else oof.unionByName(part)
     columns = (*FEATURES, NGRAM_COLUMN)
     stacked = durable(oof)
+    fits = [BoostedFit(str(i), columns, i) for i in range(k)] + [BoostedFit("all", columns)]
+    grown = fit_all(stacked, fits, trees, depth, LEARNING_RATE)
     scores = None
     for i in range(k):
-        model = fit_boosted(stacked.where(F.col("fold") != i), columns, trees, depth)
-        part = predict(model, stacked.where(F.col("fold") == i)).select("label", "probability")
+        part = predict(grown[str(i)], stacked.where(F.col("fold") == i)).select("label", "probability")
         scores = part if scores is None else scores.unionByName(part)
     threshold = metrics.pick_threshold(durable(scores), TARGET_FPR)
-    return Champion(ngram(train), fit_boosted(stacked, columns, trees, depth), threshold)
+    return Champion(ngram(train), grown["all"], threshold)

@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -19,7 +20,7 @@ from hostlens.llm.common import arrow_batches, bucketed, give_back, id_and_text
 
 CHUNK_MB = 16
 TOGETHER = 2000  # words that the tokenizer takes at a time
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 # Fixed value: how the byte-level vocabularies cut a text into words, blanks as Unicode has them.
 WORDS = (

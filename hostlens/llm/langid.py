@@ -197,6 +197,7 @@ def in_training(doc_id: Column, folds: int = 5) -> Column:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """`docs` without the rows whose language is rejected, its columns unchanged."""
+    """`docs` without the rows whose language is rejected, its columns unchanged. NULL and empty texts and
+    those without letters are rejected; repeated rows are judged alike; no rows give no rows."""
     arrow_batches(docs.sparkSession)
     return docs.where(~predictor(model)(text_or_empty(text))["rejected"])

@@ -126,22 +126,23 @@ def mask_secrets(
     mask: str = "[SECRET]",
 ) -> DataFrame:
     """`docs` with live-looking secrets masked in their texts and `n_chars` (if there) to match; copied
-    examples stay. All rows are kept, a NULL text stays NULL."""
+    examples stay. All rows are kept, repeated ones too; a NULL text stays NULL, an empty one empty. No
+    rows give no rows."""
     def key(of: Column, hash_of: Column) -> Column:
         return F.concat_ws(":", F.coalesce(of.cast("string"), F.lit("")), of.isNull(), hash_of)
 
     live = F.filter("findings", lambda s: s["class"] == "live")
     hits = scan(docs, doc_id, text, owner, doc_id).select(
-        key(F.col("doc_id"), F.col("text_hash")).alias("_key"), live.alias("_live")
-    ).where(F.size("_live") > 0).select(
-        "_key", F.transform("_live", lambda s: F.struct(s["start"], s["end"])).alias("_live")
-    ).dropDuplicates(["_key"])
-    keyed = docs.withColumn("_key", key(F.col(f"`{doc_id}`"), F.xxhash64(text_or_empty(text))))
+        key(F.col("doc_id"), F.col("text_hash")).alias("key"), live.alias("live")
+    ).where(F.size("live") > 0).select(
+        "key", F.transform("live", lambda s: F.struct(s["start"], s["end"])).alias("live")
+    ).dropDuplicates(["key"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]  # in a struct no name of theirs can clash
+    keyed = docs.select(F.struct(*columns).alias("row"), key(F.col(f"`{doc_id}`"), F.xxhash64(text_or_empty(text))).alias("key"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    found = keyed.join(hits.hint("shuffle_hash"), "_key", "left")
-    new = masked(F.col(f"`{text}`"), F.coalesce("_live", none), mask)
-    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {text: new.alias(text)}
-    out = found.select(*columns.values())
+    found = keyed.join(hits.hint("shuffle_hash"), "key", "left")
+    new = masked(F.col("row")[text], F.coalesce("live", none), mask)
+    out = found.select(*[(new if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
     if n_chars not in docs.columns:
         return out
     size = F.coalesce(F.length(f"`{text}`").cast(docs.schema[n_chars].dataType), F.col(f"`{n_chars}`"))

@@ -19,10 +19,6 @@ MAX_BITS = 4
 WORDS = 4
 SEED = 42
 PIVOTS = 16
-STAGE_WORDS = 5
-SIMILAR = 0.8  # Jaccard similarity of near-duplicates in the pipeline
-BANDS, ROWS = 24, 4
-PAIRED = 64  # larger buckets of a band meet their hub instead of in pairs
 BUCKET = 1024  # larger buckets are joined through midpoints instead of pairs
 
 
@@ -178,9 +174,9 @@ def near_duplicates(
     return _kept(rows, points, durable(components(links(points, bits, bucket))))
 
 
-def _points(rows: DataFrame, *more: Column) -> DataFrame:
+def _points(rows: DataFrame) -> DataFrame:
     return durable(rows.groupBy("fp").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"), F.count("*").alias("n"), *more,
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"), F.count("*").alias("n"),
     ))
 
 
@@ -198,113 +194,22 @@ def _kept(rows: DataFrame, points: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
-def _distinct(text: str) -> np.ndarray:
-    return np.unique(np.array(shingles(text, STAGE_WORDS), np.uint64))
-
-
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """One key per band of `ROWS` minimum hashes; none without a shingle."""
-    if not len(hashes):
-        return []
-    r = np.random.default_rng(SEED)
-    a = r.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for i in range(0, len(hashes), 4096):
-        part = hashes[i : i + 4096] ^ (hashes[i : i + 4096] >> np.uint64(31))
-        low = np.minimum(low, (part * a).min(1))
-    lows = low.reshape(BANDS, ROWS)
-    return [_signed(xxhash.xxh64_intdigest(x.tobytes(), k)) for k, x in enumerate(lows)]
-
-
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, fp, size, keys) per row; fp stands for the set of the text's shingles."""
-    arrow_batches(docs.sparkSession)
-    rows = id_and_text(docs, doc_id, text).withColumn("text_hash", F.xxhash64("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            fps, sizes, keys = [], [], []
-            for t in part.column("text"):
-                found = _distinct(t.as_py())
-                fps.append(_signed(xxhash.xxh64_intdigest(found.tobytes(), SEED)) if len(found) else 0)
-                sizes.append(len(found))
-                keys.append(band_keys(found))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text_hash"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "fp", "size", "keys"],
-            )
-            give_back()
-
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, size long, keys array<long>")
-
-
-def candidates(points: DataFrame, bucket: int) -> DataFrame:
-    """(a, b, na, nb): sets that share a band and whose sizes allow the similarity. All pairs of a bucket
-    of at most `bucket`; in a larger one all sets meet its hub, another one in each band."""
-    keyed = points.select("fp", "size", F.posexplode("keys").alias("band", "key"))
-    hubs = durable(keyed.groupBy("band", "key").agg(
-        F.count("*").alias("n"), F.min_by(F.struct("fp", "size"), F.xxhash64("fp", "band")).alias("hub"),
-    ).where("n > 1"))
-    pairs = [F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.size").alias("na"), F.col("y.size").alias("nb")]
-    few = keyed.join(hubs.where(F.col("n") <= bucket).select("band", "key"), ["band", "key"])
-    close = few.alias("x").join(few.alias("y"), ["band", "key"]).where("x.fp < y.fp").select(*pairs)
-    many = hubs.where(F.col("n") > bucket).select("band", "key", F.col("hub.fp").alias("a"), F.col("hub.size").alias("na"))
-    star = keyed.join(F.broadcast(many), ["band", "key"]).where("fp <> a").select(
-        F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"),
-        F.when(F.col("a") < F.col("fp"), F.col("na")).otherwise(F.col("size")).alias("na"),
-        F.when(F.col("a") < F.col("fp"), F.col("size")).otherwise(F.col("na")).alias("nb"),
-    )
-    fits = F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")
-    return close.unionByName(star).where(fits).distinct()
-
-
-def similar_texts(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = PAIRED,
+def drop_near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = MAX_BITS, bucket: int = BUCKET,
 ) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id, keep) per row, as `near_duplicates` has them, of texts linked
-    by a Jaccard similarity of at least 0.8 of their sets of five-word shingles.
-
-    Candidates share one of 24 bands of four minimum hashes, which a pair at 0.8 does but for 3 in a
-    million; the similarity of each is then counted from all their shingles.
-    """
-    rows = durable(signatures(docs, doc_id, text))
-    points = _points(rows, F.first("size").alias("size"), F.first("keys").alias("keys"))
-    pairs = durable(candidates(points, bucket))
-    near = durable(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
-    # A text of each set; repeated rows of it give the same hashes.
-    one = points.join(near, "fp").select(F.col("first.text_hash").alias("text_hash")).distinct()
-    found = id_and_text(docs, doc_id, text).withColumn("text_hash", F.xxhash64("text")).join(
-        one.hint("shuffle_hash"), "text_hash", "left_semi")
-    arrow_batches(docs.sparkSession)
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for t in part.column("text"):
-                hashes = _distinct(t.as_py())
-                fp = _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
-                yield pa.RecordBatch.from_arrays([pa.array([fp] * len(hashes), pa.int64()), pa.array(hashes.view(np.int64))], ["fp", "h"])
-            give_back()
-
-    held = durable(found.select("text").mapInArrow(run, "fp long, h long").distinct())
-    spread = pairs.join(held.withColumnRenamed("fp", "b"), "b")
-    common = spread.join(held.withColumnRenamed("fp", "a"), ["a", "h"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    edges = common.where(F.col("c") >= SIMILAR * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
-    return _kept(rows.drop("size", "keys"), points, durable(components(edges)))
-
-
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one row of each group of near-duplicates by `similar_texts`, its columns unchanged."""
-    def key(of: str, hash_of: Column) -> Column:
-        return F.concat_ws(":", F.coalesce(F.col(of).cast("string"), F.lit("")), F.col(of).isNull(), hash_of)
-
-    kept = durable(similar_texts(docs, doc_id, text).where("keep").groupBy(
-        key("doc_id", F.col("text_hash")).alias("_key")
-    ).agg(F.count("*").alias("_rows")))
-    keyed = docs.withColumn("_key", key(f"`{doc_id}`", F.xxhash64(text_or_empty(text))))
+    """`docs` with one row of each group of `near_duplicates`, its columns unchanged: the one with the
+    smallest (id, text hash), of rows repeated with id and text any one. NULL and empty texts are one
+    group, in which texts without a fingerprint bit are too. No rows give no rows."""
+    def key(of: Column, hash_of: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(of.cast("string"), F.lit("")), of.isNull(), hash_of)
+
+    kept = durable(near_duplicates(docs, doc_id, text, bits, bucket).where("keep").groupBy(
+        key(F.col("doc_id"), F.col("text_hash")).alias("key")
+    ).agg(F.count("*").alias("rows")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*columns).alias("row"), key(F.col(f"`{doc_id}`"), F.xxhash64(text_or_empty(text))).alias("key"))
     # The narrow side is hashed, so that texts are neither sorted nor held.
-    one = keyed.join(kept.select("_key").hint("shuffle_hash"), "_key", "left_semi")
-    if kept.where("_rows > 1").limit(1).count():  # rows repeated with id and text
-        one = one.dropDuplicates(["_key"])
-    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
+    one = keyed.join(kept.select("key").hint("shuffle_hash"), "key", "left_semi")
+    if kept.where("rows > 1").limit(1).count():  # rows repeated with id and text
+        one = one.dropDuplicates(["key"])
+    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -1,6 +1,6 @@
 import pytest
 
-CLASHING = ("chunk", "words", "row", "owner", "part", "fp", "key", "hash", "sig", "label", "n", "order", "value")
+CLASHING = ("chunk", "words", "row", "owner", "part", "fp", "key", "hash", "sig", "label", "n", "order", "value", "_key", "_live", "live", "rows")
 LONG = "lorem ipsum 12 " * 30_000
 
 

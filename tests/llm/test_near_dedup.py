@@ -1,38 +1,50 @@
-"""The near-duplicate stage against the Jaccard similarity of all pairs."""
+"""The near-duplicate stage against the distances of all pairs of fingerprints."""
 
 import random
 
 import pytest
 
 from hostlens.llm import simhash
-from tests.llm.conftest import documents
-
-
-def shingle_set(text):
-    w = text.split()
-    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
-
-
-def similarity(a, b):
-    a, b = shingle_set(a), shingle_set(b)
-    return len(a & b) / len(a | b)
-
-
-@pytest.mark.parametrize("bucket", [64, 2])
-def test_similar_texts_fall_together_and_others_stay(spark, bucket):
-    r = random.Random(5)
-    rows = []
-    for i in range(60):  # a text and a copy with some of its words changed
-        words = [f"w{r.randrange(5000)}" for _ in range(200)]
-        copy = list(words)
-        for j in r.sample(range(200), r.choice((2, 3, 4, 12, 20))):
-            copy[j] = "new"
-        rows += [(2 * i, " ".join(words), "en", "a"), (2 * i + 1, " ".join(copy), "en", "a")]
-    rows += [(1000 + i, rows[0][1], "en", "a") for i in range(20)]
-    near = {i for i in range(60) if similarity(rows[2 * i][1], rows[2 * i + 1][1]) >= 0.8}
-    assert 20 < len(near) < 50
+from tests.llm.conftest import CLASHING, documents
+
+
+def family(n, words, changed, seed):
+    """Texts that differ from a template in some words each: many pairs are near, as many are not quite."""
+    r = random.Random(seed)
+    template = [f"w{r.randrange(5000)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        copy = list(template)
+        for j in r.sample(range(words), r.choice(changed)):
+            copy[j] = f"n{r.randrange(10**6)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def smallest_reachable(rows, bits):
+    points = {i: simhash.fingerprint(text or "") for i, text, *_ in rows}
+    left, out = sorted(points), {}
+    while left:
+        group, todo = {left[0]}, [left[0]]
+        while todo:
+            x = todo.pop()
+            near = [y for y in left if y not in group and (points[x] ^ points[y]).bit_count() <= bits]
+            group.update(near)
+            todo += near
+        out |= dict.fromkeys(group, left[0])
+        left = [x for x in left if x not in group]
+    return out
+
+
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 4])
+def test_one_of_each_component_stays(spark, bucket):
+    texts = family(150, 120, (2, 3, 4), 1) + family(60, 400, (1, 2, 20), 2) + ["", None, "one", "one two", "one"]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(1000 + i, texts[0], "en", "b") for i in range(30)]
     docs = documents(spark, rows)
-    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_texts(docs, bucket=bucket).collect()}
-    assert {i for i in range(60) if got[2 * i + 1] == 2 * i} == near and got[1019] == 0
-    kept = {x["doc_id"] for x in simhash.drop_near_duplicates(docs).collect()}
-    assert kept == {2 * i for i in range(60)} | {2 * i + 1 for i in range(60) if i not in near}
+    want = smallest_reachable(rows, simhash.MAX_BITS)
+    assert 10 < len(set(want.values())) < 200
+    got = simhash.drop_near_duplicates(docs, bucket=bucket)
+    assert got.columns == docs.columns
+    kept = {x["doc_id"]: x for x in got.collect()}
+    assert set(kept) == set(want.values())
+    assert {x[c] for x in kept.values() for c in CLASHING} == {"x"}

@@ -9,9 +9,11 @@ from tests.llm.test_langid import made
 
 def test_stages(spark, tmp_path):
     r = random.Random(9)
-    item = " ".join("".join(r.choice("katomiru") for _ in range(5)) for _ in range(40))
-    rows = made(160) + [(x[0], x[1], None, x[3]) for x in EDGES]
-    rows += [(9001, rows[50][1] + " " + item, "xx", "a"), (9002, "".join(rows[40][1]), "xx", "b"), (9003, rows[45][1] + " password=abcdef1234", "yy", "b")]
+    rows = made(160)
+    known = [w for row in rows if row[2] == rows[50][2] for w in row[1].split()]
+    item = " ".join(r.choices(known, k=40))  # its language must not be what drops it
+    rows = rows + [(x[0], x[1], None, x[3]) for x in EDGES]
+    rows += [(9001, rows[50][1] + " " + item, "xx", "a"), (9002, "".join(rows[40][1]), "xx", "b"), (9003, " ".join(reversed(rows[45][1].split())) + " password=abcdef1234", "yy", "b")]
     spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")

@@ -11,7 +11,7 @@ from hostlens.sources.scratch import durable
 
 ROUNDS = 3
 SUPPORT = 5  # known instances a pattern needs
-CONFIDENT = 0.9  # least confidence of a pattern that discovers
+CONFIDENT = 0.5  # least confidence of a pattern that discovers; one alone must reach ACCEPT
 ACCEPT = 0.9  # least score of a discovered identifier
 
 # The patterns and tests of the base kinds. Each is written so that it fails once per
@@ -73,9 +73,12 @@ def patterns(span: Column) -> Column:
 def discover(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(instance, score) of unseen instances from the pattern-instance graph (pattern, instance, seed).
 
-    A pattern's confidence is the mean score of its instances, two unknown ones added; an unseen
-    instance's score is the chance that not all of its confident patterns are wrong. Seeds keep
-    score 1. Patterns need SUPPORT known instances and confidence CONFIDENT.
+    A pattern's confidence is the score that its n instances have in all (`known`), over n, times
+    known / (known + 1) as a discount for few of them; an unseen instance's score is the chance that not
+    all of its confident patterns are wrong. Seeds keep score 1, unseen instances start with 0, and
+    each round takes the scores of the one before. Patterns need a `known` of SUPPORT and confidence
+    CONFIDENT: five seeds confirm a pattern, and several unseen instances are held by the other
+    patterns around them.
     """
     edges = durable(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     scores = None
@@ -84,7 +87,7 @@ def discover(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         known = F.when(F.col("seed"), 1.0).otherwise(0.0 if scores is None else F.coalesce("score", F.lit(0.0)))
         confident = now.groupBy("pattern").agg(
             F.sum(known).alias("known"), F.count("*").alias("n"),
-        ).select("pattern", "known", (F.col("known") / (F.col("n") + 2)).alias("confidence")).where(
+        ).select("pattern", "known", (F.col("known") / F.col("n") * F.col("known") / (F.col("known") + 1)).alias("confidence")).where(
             (F.col("known") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)
         )
         reached = lookup(edges.where(~F.col("seed")), durable(confident), "pattern", "inner")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hostlens.functions import lists
 from hostlens.functions.hostname import PARTS, with_host_parts
-from hostlens.functions.suffix import SuffixRules
+from hostlens.functions.suffix import SuffixRules, SuffixTable
 
 
 def label_count(host: Column) -> Column:
@@ -140,7 +140,7 @@ def feature_columns(host_name: str) -> list[Column]:
 def with_features(
     df: DataFrame,
     host: str = "hostname",
-    rules: SuffixRules | None = None,
+    rules: SuffixRules | SuffixTable | None = None,
     keep_parts: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add the 22 features (and the named PARTS); a host is read trimmed and lowercased."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hostlens.functions.lists import FREE_HOSTING_DOMAINS
 from hostlens.functions.stage import computed_once
-from hostlens.functions.suffix import SuffixRules, default_rules, suffix_labels
+from hostlens.functions.suffix import SuffixRules, SuffixTable, default_rules, with_suffix_labels
 
 MAX_URL_LENGTH = 2048
 MAX_HOST_LENGTH = 253
@@ -72,13 +72,13 @@ def with_hostname(df: DataFrame, url: str = "url", host: str = "hostname") -> Da
 
 
 def with_host_parts(
-    df: DataFrame, host: str = "hostname", rules: SuffixRules | None = None
+    df: DataFrame, host: str = "hostname", rules: SuffixRules | SuffixTable | None = None
 ) -> DataFrame:
     """Add PARTS, computed once per row."""
     rules = rules or default_rules()
     h, keep = F.col(host), [c for c in df.columns if c not in PARTS]
     df = df.select(*keep).withColumn("is_ip", is_ip(h))
-    df = df.withColumn("_k", F.when(F.col("is_ip"), 0).otherwise(suffix_labels(host, rules)))
+    df = with_suffix_labels(df, host, rules, "_k").withColumn("_k", F.when(F.col("is_ip"), 0).otherwise(F.col("_k")))
     df = df.withColumn("suffix", F.call_function("substring_index", h, F.lit("."), -F.col("_k")))
     # All left of the suffix; the whole host when there is none.
     left = F.substring(h, F.lit(1), F.length(h) - F.length("suffix") - 1)
@@ -108,7 +108,7 @@ def effective_name() -> Column:
 
 
 def with_registered_domain(
-    df: DataFrame, host: str = "hostname", rules: SuffixRules | None = None
+    df: DataFrame, host: str = "hostname", rules: SuffixRules | SuffixTable | None = None
 ) -> DataFrame:
     """Add only `registered_domain`: the host itself for an IP or an unknown suffix."""
     keep = [c for c in df.columns if c != "registered_domain"]

@@ -1,7 +1,8 @@
 """Public-suffix rules and the split of a hostname into subdomain, domain and suffix.
 
-The rules become literal sets inside one expression per label count, so the split is
-plain string arithmetic in the scan stage: no join, no shuffle, no UDF.
+The built-in rules become literal sets inside one expression per label count. A list of any length
+is a table, looked up once per label count by hash joins. Both are plain string arithmetic in the
+scan stage, without a shuffle (as long as the table can be broadcast) and without a UDF.
 """
 
 from __future__ import annotations
@@ -9,9 +10,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostlens.functions.punycode import to_ascii
+from hostlens.functions.stage import computed_once
+from hostlens.sources.scratch import broadcast_if_small, durable
+
 # Generic top-level domains.
 GENERIC_TLDS = """
 com org net edu gov mil int arpa info biz name pro mobi museum coop aero jobs travel tel cat
@@ -134,8 +139,7 @@ WILDCARD_RULES = """
 !city.sendai.jp !city.yokohama.jp
 """
 
-MAX_RULES = 20_000
-_RULE_TEXT = re.compile(r"[!*]?[^\s!*/'\"\\]+")
+_RULE_TEXT = re.compile(r"(?:!|\*\.)?[^\s!*/'\"\\]+")
 
 
 @dataclass(frozen=True)
@@ -182,26 +186,72 @@ def default_rules() -> SuffixRules:
     return SuffixRules.parse(rules, any_country=True)
 
 
-def read_rules(spark: SparkSession, path: str) -> SuffixRules:
-    """Rules from a public-suffix text file: one per line, `//` comments, ICANN part only.
+END_OF_PUBLIC_PART = "===END ICANN DOMAINS==="
 
-    The file is a lookup list; it is refused when it holds more than MAX_RULES rules.
-    """
-    # Built-in file order is kept by reading the list as one text value.
-    text = spark.read.text(path, wholetext=True)
-    n_lines = text.select(F.sum(F.regexp_count("value", F.lit("\n")))).first()[0]
-    if n_lines is not None and n_lines > 2 * MAX_RULES:
-        raise ValueError(f"{n_lines} lines in the suffix list; at most {2 * MAX_RULES} expected")
-    rules = []
-    for row in text.toLocalIterator():
-        for line in row.value.splitlines():
-            if "END ICANN DOMAINS" in line:
-                break
-            if line.strip() and not line.startswith("//"):
-                rules.append(line.split()[0])
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} suffix rules; at most {MAX_RULES} expected")
-    return SuffixRules.parse(rules)
+
+@dataclass(frozen=True)
+class SuffixTable:
+    """Suffix rules as a table (name, exact, below, except), one row per name in ASCII: the name is a
+    suffix, each label below it makes one, or it is an exception. `labels`: the most a name has."""
+
+    rules: DataFrame
+    labels: int
+
+    def suffix_labels(self, df: DataFrame, host: str, out: str) -> DataFrame:
+        """Add how many labels the public suffix of the host has; 0 when no rule matches.
+
+        The host's last 1, 2, ... labels are looked up in turn. An exception wins, then the longest
+        match. Hosts match in either spelling, since both sides are compared in ASCII; a NULL host has 0.
+        """
+        h = F.col(host)
+        df = computed_once(df, {"_ascii": to_ascii(host), "_n": F.regexp_count(h, F.lit("[.]")) + 1})
+        exception, longest = F.lit(None).cast("int"), F.lit(0)
+        found = []
+        for k in range(1, self.labels + 1):
+            rules = self.rules.select(
+                F.col("name").alias(f"_name{k}"), *[F.col(c).alias(f"_{c}{k}") for c in ("exact", "below", "except")]
+            )
+            found += rules.columns
+            last = F.when(F.col("_n") >= k, F.substring_index("_ascii", ".", -k))
+            df = df.join(rules, last == F.col(f"_name{k}"), "left")
+            longest = (
+                F.when(F.col(f"_below{k}") & (F.col("_n") > k), k + 1).when(F.col(f"_exact{k}"), k).otherwise(longest)
+            )
+            exception = F.when(F.col(f"_except{k}"), k - 1).otherwise(exception)
+        return df.withColumn(out, F.coalesce(exception, longest)).drop("_ascii", "_n", *found)
+
+
+def suffix_table(rules: DataFrame) -> SuffixTable:
+    """The table of a column `rule` of rules (`co.uk`, `*.ck`, `!www.ck`), in any order, of any length,
+    in either spelling. Repeated rules count once; text that is no rule fails."""
+    rule = F.lower(F.trim("rule"))
+    plain = rules.select(rule.alias("rule"), F.regexp_replace(rule, r"^(\*\.|!)", "").alias("plain"))
+    names = plain.withColumn("name", to_ascii("plain"))
+    table = durable(names.groupBy("name").agg(
+        F.bool_or(~F.col("rule").rlike(r"^[*!]")).alias("exact"), F.bool_or(F.col("rule").startswith("*.")).alias("below"),
+        F.bool_or(F.col("rule").startswith("!")).alias("except"),
+        F.max(F.when(~F.col("rule").rlike(rf"^{_RULE_TEXT.pattern}$"), F.col("rule"))).alias("odd"),
+    ))
+    odd, labels = table.agg(F.max("odd"), F.max(F.regexp_count("name", F.lit("[.]")) + 1)).first()
+    if odd is not None:
+        raise ValueError(f"not a suffix rule: {odd!r}")
+    return SuffixTable(broadcast_if_small(table.drop("odd")), labels or 0)
+
+
+def read_rules(spark: SparkSession, path: str) -> SuffixTable:
+    """Rules from a public-suffix text file: one per line, `//` comments, public (ICANN) part only."""
+    # The part before the mark; a list is read as one text value.
+    text = spark.read.text(path, wholetext=True).select(F.split_part("value", F.lit(END_OF_PUBLIC_PART), F.lit(1)).alias("value"))
+    lines = text.select(F.explode(F.split("value", r"\R")).alias("line"))
+    rule = F.regexp_extract("line", r"^\s*(\S+)", 1)
+    return suffix_table(lines.where(~F.col("line").startswith("//")).select(rule.alias("rule")).where("rule != ''"))
+
+
+def with_suffix_labels(df: DataFrame, host: str, rules: SuffixRules | SuffixTable, out: str) -> DataFrame:
+    """Add how many labels the public suffix of the host column has, by either kind of rules."""
+    if isinstance(rules, SuffixTable):
+        return rules.suffix_labels(df, host, out)
+    return df.withColumn(out, suffix_labels(host, rules))
 
 
 def suffix_labels(host: str, rules: SuffixRules) -> Column:

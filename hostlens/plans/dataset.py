@@ -12,7 +12,7 @@ from hostlens.functions.hostname import (
     has_subdomain, with_host_parts, with_hostname, with_registered_domain,
 )
 from hostlens.functions.lists import FREE_HOSTING_DOMAINS
-from hostlens.functions.suffix import SuffixRules
+from hostlens.functions.suffix import SuffixRules, SuffixTable
 from hostlens.operators.dedup import cap_per_group
 from hostlens.operators.folds import grouped_folds
 from hostlens.sources.scratch import broadcast_if_small, durable
@@ -108,12 +108,12 @@ def top_domains(list_b: DataFrame, top_n: int = TOP_N) -> DataFrame:
     return top.select(F.lower("domain").alias("registered_domain")).distinct()
 
 
-def stress_domains(stress: DataFrame, rules: SuffixRules | None = None) -> DataFrame:
+def stress_domains(stress: DataFrame, rules: SuffixRules | SuffixTable | None = None) -> DataFrame:
     hosts = with_registered_domain(stress.select("hostname"), rules=rules)
     return hosts.select("registered_domain").distinct()
 
 
-def _with_validity(hosts: DataFrame, rules: SuffixRules | None) -> DataFrame:
+def _with_validity(hosts: DataFrame, rules: SuffixRules | SuffixTable | None) -> DataFrame:
     parts = with_host_parts(hosts, rules=rules)
     ok = (F.col("suffix") != "") & has_subdomain(F.col("hostname"), F.col("registered_domain"))
     return parts.select(*hosts.columns, "registered_domain", ok.alias("valid"))
@@ -128,12 +128,12 @@ class BenignFilter:
     tested: DataFrame
     phishing: DataFrame
     max_per_domain: int = MAX_PER_DOMAIN
-    rules: SuffixRules | None = None
+    rules: SuffixRules | SuffixTable | None = None
 
     @staticmethod
     def of(
         list_b: DataFrame, stress: DataFrame, phishing: DataFrame, top_n: int = TOP_N,
-        max_per_domain: int = MAX_PER_DOMAIN, rules: SuffixRules | None = None,
+        max_per_domain: int = MAX_PER_DOMAIN, rules: SuffixRules | SuffixTable | None = None,
     ) -> "BenignFilter":
         return BenignFilter(
             broadcast_if_small(durable(top_domains(list_b, top_n))),
@@ -255,7 +255,7 @@ def build_dataset(
     max_per_domain: int = MAX_PER_DOMAIN,
     folds: int = FOLDS,
     seed: int = SEED,
-    rules: SuffixRules | None = None,
+    rules: SuffixRules | SuffixTable | None = None,
 ) -> Dataset:
     """Clean, add the benign list, merge and split."""
     summary = durable(host_summary(raw, order))  # the raw URLs are read once

@@ -66,8 +66,15 @@ SELECT gram, {r9('ln((1 + m) / (1 + df)) + 1', 'weight')} FROM (
   SELECT gram, count(*) AS n, count(DISTINCT hostname) AS df, (SELECT count(*) FROM url_hosts) AS m FROM ({GRAMS})
   GROUP BY gram HAVING count(DISTINCT hostname) >= 5)""", "url_hosts"))
 def t2(spark, sf):
-    steps = tr.ngram_steps(fx.hosts(spark, sf))
-    return tr.ngram_weights(steps)
+    return tr.ngram_vocabulary(fx.hosts(spark, sf)).select("gram", "weight")
+
+
+@query("t2_vocabulary_cut", oracle(f"""
+SELECT gram, n, df FROM (SELECT gram, count(*) AS n, count(DISTINCT hostname) AS df FROM ({GRAMS}) GROUP BY gram)
+WHERE df >= 2 ORDER BY n DESC, encode(gram) LIMIT 1000""", "url_hosts"))
+def t2b(spark, sf):
+    """The 1000 most frequent, which ends among n-grams of equal counts."""
+    return tr.ngram_vocabulary(fx.hosts(spark, sf), min_df=2, max_ngrams=1000).select("gram", "n", "df")
 
 
 @query("t3_ngram_logistic")
@@ -83,14 +90,12 @@ def t3b(spark, sf):
     with their weights must equal the model's."""
     train = folded(spark, sf).select("hostname", "label")
     model = tr.fit_ngram(train)
-    fit = model.stages[-1]
-    grams = list(zip(model.stages[1].vocabulary, model.stages[3].getScalingVec().toArray().tolist(), fit.coefficients.toArray().tolist()))
-    weights = spark.createDataFrame(grams, "gram STRING, idf DOUBLE, coef DOUBLE")
+    weights = model.table(spark).where("gram IS NOT NULL").selectExpr("gram", "weight AS idf", "coefficient AS coef")
     n, n_pos = train.agg(F.count("*"), F.sum("label")).first()
     counts = train.select("hostname", F.explode(F.expr(tr.ngram_sql())).alias("gram")).groupBy("hostname", "gram").count()
     entries = counts.join(weights, "gram").withColumn("x", (1 + F.log("count")) * F.col("idf"))
     norm = entries.groupBy("hostname").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("norm"), F.sum(F.col("x") * F.col("coef")).alias("dot"))
-    margin = F.coalesce(F.col("dot") / F.col("norm"), F.lit(0.0)) + fit.intercept
+    margin = F.coalesce(F.col("dot") / F.col("norm"), F.lit(0.0)) + model.intercept
     weight = F.when(F.col("label") == 1, n / (2.0 * n_pos)).otherwise(n / (2.0 * (n - n_pos)))
     hosts = durable(train.join(norm, "hostname", "left").withColumn("p", 1 / (1 + F.exp(-margin))).withColumn("r", weight * (F.col("p") - F.col("label")) / n))
     slopes = entries.join(hosts.select("hostname", "norm", "r"), "hostname").groupBy("gram").agg(

@@ -162,8 +162,8 @@ class Boosted:
         x = F.array(*[F.col(c).cast("double") for c in self.columns])
         # Behind a one-row inline, so that the array is made once for a row and not in every comparison.
         ready = df.select(*keep, F.inline(F.array(F.struct(
-            x.alias("_x"), _array(np.maximum(self.feature, 0).ravel(), "int").alias("_f"),
-            _array(self.threshold.ravel(), "double").alias("_t"), _array(self.value[:, width:].ravel(), "double").alias("_v"),
+            x.alias("_x"), constant(np.maximum(self.feature, 0).ravel().tolist(), "int").alias("_f"),
+            _finite(self.threshold.ravel()).alias("_t"), _finite(self.value[:, width:].ravel()).alias("_v"),
         ))))
         walk = (
             f"aggregate(sequence(0, {len(self.feature) - 1}), 0D, (m, t) -> m + _v[t * {width} - {width} + "
@@ -198,11 +198,15 @@ class Boosted:
         return Boosted(tuple(rows[0]["columns"]), len(rows[0]["feature"]).bit_length() - 1, *parts)
 
 
-def _array(values: np.ndarray, kind: str) -> Column:
-    """A constant array; infinite thresholds are as large as a double gets."""
+def constant(values: list, kind: str) -> Column:
+    """A constant array, however long: parsed once, by the optimizer."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _finite(values: np.ndarray) -> Column:
+    """Infinite thresholds are as large as a double gets."""
     limit = np.finfo(np.float64).max
-    listed = values.tolist() if kind == "int" else np.clip(values, -limit, limit).tolist()
-    return F.from_json(F.lit(json.dumps(listed)), f"array<{kind}>")
+    return constant(np.clip(values, -limit, limit).tolist(), "double")
 
 
 def fit_all(

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import keyword_only
-from pyspark.ml import PipelineModel, Transformer
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, SQLTransformer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from hostlens.functions.features import with_features
 from hostlens.functions.lists import BASE_FEATURES, FEATURES
+from hostlens.functions.stage import computed_once
 from hostlens.operators import metrics
-from hostlens.operators.boosting import Boosted, Fit as BoostedFit, fit_all
+from hostlens.operators.boosting import Boosted, Fit as BoostedFit, constant, fit_all
 from hostlens.operators.folds import grouped_folds
+from hostlens.operators.selection import largest
 from hostlens.sources.scratch import durable
 
 # Model settings and versions.
@@ -38,7 +38,6 @@ DATA_VERSION = "v2"
 FEATURE_VERSION = "v1.1"
 NGRAM_COLUMN = "ngram_prob"
 
-Fit = Callable[[DataFrame], PipelineModel]
 
 
 # ------------------------------------------------------------------- character n-grams
@@ -56,79 +55,147 @@ def ngram_sql(host: str = "hostname") -> str:
     return f"flatten(transform(transform({words}, w -> ' ' || w || ' '), w -> concat({', '.join(grams)})))"
 
 
-def _log_counts(v):
-    import numpy as np
+def ngram_vocabulary(hosts: DataFrame, min_df: int = MIN_DF, max_ngrams: int = MAX_NGRAMS) -> DataFrame:
+    """(gram, n, df, weight) of the n-grams that at least `min_df` rows have: the `max_ngrams` most frequent,
+    ties by text. Weight: smooth inverse document frequency plus one, so an n-gram of every row counts.
 
-    return SparseVector(v.size, v.indices, 1.0 + np.log(v.values))
+    One shuffle by n-gram, combined before it; a row tells of each n-gram whether it is its first there.
+    """
+    grams = computed_once(hosts.select("hostname"), {"_grams": F.expr(ngram_sql())})
+    marked = F.transform("_grams", lambda g, i: F.struct(g.alias("gram"), (F.array_position("_grams", g) == i + 1).alias("first")))
+    counts = grams.select(F.inline(marked)).groupBy("gram").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("first").cast("bigint")).alias("df")
+    )
+    size = hosts.count()
+    kept = largest(durable(counts.where(F.col("df") >= min_df)), max_ngrams, "n", "gram")
+    return kept.withColumn("weight", F.log((F.lit(1.0) + size) / (1.0 + F.col("df"))) + 1.0)
 
 
-class SublinearCounts(
-    Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
-):
-    """Counts c of a sparse vector become 1 + ln(c). Spark has no such transformer; the function
-    only touches the few dozen entries of one host."""
+@dataclass
+class NgramModel:
+    """A regression on the tf-idf of character n-grams: per n-gram its weight and coefficient, in the order
+    of their slots in a hash table. Built-in expressions only, in batches and streams alike.
 
-    @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None):
-        super().__init__()
-        self._set(**self._input_kwargs)
+    The table has at most MAX_NGRAMS entries and travels inside the expression as constant arrays:
+    n-grams by slot, and where each slot starts.
+    """
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        log_counts = F.udf(_log_counts, VectorUDT())
-        return dataset.withColumn(self.getOutputCol(), log_counts(F.col(self.getInputCol())))
+    grams: list[str]
+    weight: np.ndarray
+    coefficient: np.ndarray
+    intercept: float
 
+    @staticmethod
+    def of(vocabulary: DataFrame) -> "NgramModel":
+        """The untrained model of a vocabulary: all coefficients 0."""
+        rows = vocabulary.select("gram", "weight").collect()  # at most max_ngrams
+        slots = _slots(len(rows))
+        rows.sort(key=lambda r: (_slot(r.gram, slots), r.gram))
+        return NgramModel([r.gram for r in rows], np.array([r.weight for r in rows]), np.zeros(len(rows)), 0.0)
+
+    def _entries(self, df: DataFrame, host: str) -> DataFrame:
+        """`df` with `_entries`, an array of (at, x): the place of each known n-gram of the host and 1 + ln of
+        its count times its weight; not yet of unit length."""
+        slots = _slots(len(self.grams))
+        starts = np.searchsorted([_slot(g, slots) for g in self.grams], np.arange(slots + 1))
+        rows = computed_once(df, {
+            "_grams": F.coalesce(F.expr(ngram_sql(host)), F.array().cast("array<string>")),
+            "_table": F.struct(
+                constant(self.grams, "string").alias("gram"), constant(starts.tolist(), "int").alias("start"),
+                constant(self.weight.tolist(), "double").alias("weight"),
+            ),
+        })
+        # Slot, place and count of each distinct n-gram; array_position is 0 where the slot has another.
+        at = (
+            "_table.start[s] + array_position(slice(_table.gram, _table.start[s] + 1, "
+            "_table.start[s + 1] - _table.start[s]), g)"
+        )
+        found = (
+            f"filter(transform(array_distinct(_grams), g -> transform(array(CAST(crc32(g) & {slots - 1} AS INT)), s -> "
+            f"named_struct('at', CAST(IF({at} > _table.start[s], {at}, 0) AS INT), "
+            f"'c', size(_grams) - size(array_remove(_grams, g))))[0]), e -> e.at > 0)"
+        )
+        x = f"transform({found}, e -> named_struct('at', e.at - 1, 'x', (1 + ln(e.c)) * _table.weight[e.at - 1]))"
+        return computed_once(rows, {"_entries": F.expr(x)}).drop("_grams", "_table")
+
+    def vectors(self, df: DataFrame, output: str = "_unit", host: str = "hostname") -> DataFrame:
+        """Add the tf-idf vector of unit length (all 0 without known n-grams), by way of the vector's JSON form:
+        the only constructor of sparse vectors among the built-in functions."""
+        keep = [F.col(c) for c in df.columns if c != output]
+        ready = computed_once(self._entries(df, host), {"_norm": F.expr(_NORM)})
+        sorted_ = "array_sort(_entries)"
+        vector = F.expr(
+            f"to_json(named_struct('v', named_struct('type', 0, 'size', {len(self.grams)}, "
+            f"'indices', transform({sorted_}, e -> e.at), 'values', transform({sorted_}, e -> e.x / _norm))))"
+        )
+        shape = StructType([StructField("v", VectorUDT())])
+        return ready.select(*keep, F.from_json(vector, shape)["v"].alias(output))
+
+    def score(self, df: DataFrame, output: str = "probability", host: str = "hostname") -> DataFrame:
+        """Add the probability of class 1."""
+        keep = [F.col(c) for c in df.columns if c != output]
+        ready = computed_once(self._entries(df, host), {"_coefficient": constant(self.coefficient.tolist(), "double")})
+        dot = "aggregate(_entries, 0D, (a, e) -> a + e.x * _coefficient[e.at])"
+        margin = F.expr(f"IF(size(_entries) = 0, 0D, {dot} / {_NORM})") + F.lit(float(self.intercept))
+        return ready.select(*keep, (1.0 / (1.0 + F.exp(-margin))).alias(output))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(gram, weight, coefficient, intercept): a row per n-gram, in order; one with a NULL gram for the
+        intercept."""
+        return spark.createDataFrame(pa.table({
+            "at": pa.array(range(len(self.grams) + 1), pa.int32()), "gram": pa.array([*self.grams, None], pa.string()),
+            "weight": pa.array([*self.weight.tolist(), None], pa.float64()),
+            "coefficient": pa.array([*self.coefficient.tolist(), self.intercept], pa.float64()),
+        }))
 
-def ngram_steps(
-    hosts: DataFrame, min_df: int = MIN_DF, max_ngrams: int = MAX_NGRAMS
-) -> list[Transformer]:
-    """Hostname to tf-idf vector `_unit`, with the vocabulary and weights of the hosts given."""
-    # Behind a one-row inline: a Python function cannot share an expression with lambdas.
-    once = f"inline(array(struct({ngram_sql()} AS _grams)))"
-    grams = SQLTransformer(statement=f"SELECT *, {once} FROM __THIS__")
-    tokens = grams.transform(hosts.select("hostname"))
-    vocabulary = CountVectorizer(
-        inputCol="_grams", outputCol="_counts", minDF=min_df, vocabSize=max_ngrams
-    ).fit(tokens)
-    # At most max_ngrams weights. Smooth idf plus one, so an n-gram of every host keeps weight.
-    counted = vocabulary.transform(tokens)
-    idf = IDF(inputCol="_counts", outputCol="_idf").fit(counted).idf.toArray() + 1.0
-    return [
-        grams,
-        vocabulary,
-        SublinearCounts(inputCol="_counts", outputCol="_tf"),
-        ElementwiseProduct(inputCol="_tf", outputCol="_tfidf", scalingVec=Vectors.dense(idf)),
-        Normalizer(inputCol="_tfidf", outputCol="_unit", p=2.0),
-    ]
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.table(spark).coalesce(1).write.parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "NgramModel":
+        rows = spark.read.parquet(path).orderBy("at").collect()  # at most MAX_NGRAMS
+        *grams, last = rows
+        return NgramModel(
+            [r.gram for r in grams], np.array([r.weight for r in grams]), np.array([r.coefficient for r in grams]),
+            last.coefficient,
+        )
+
+
+_NORM = "sqrt(aggregate(_entries, 0D, (a, e) -> a + e.x * e.x))"
 
 
-def ngram_weights(steps: list[Transformer]) -> DataFrame:
-    """(gram, weight) of fitted steps: at most max_ngrams rows."""
-    rows = list(zip(steps[1].vocabulary, steps[3].getScalingVec().toArray().tolist()))
-    return SparkSession.active().createDataFrame(rows, "gram STRING, weight DOUBLE")
+def _slots(entries: int) -> int:
+    return 1 << max(entries, 1).bit_length()
+
+
+def _slot(gram: str, slots: int) -> int:
+    return zlib.crc32(gram.encode()) & (slots - 1)
 
 
 def fit_ngram(
     train: DataFrame, min_df: int = MIN_DF, max_ngrams: int = MAX_NGRAMS,
     iterations: int = LR_ITERATIONS,
-) -> PipelineModel:
+) -> NgramModel:
     """tf-idf of character n-grams and a class-balanced, L2-regularized logistic regression.
 
     The vocabulary is refit on the rows given. The penalty weighs like 1 per data set: the mean
     loss over n rows takes 1/n.
     """
-    steps = ngram_steps(train, min_df, max_ngrams)
+    model = NgramModel.of(ngram_vocabulary(train, min_df, max_ngrams))
     size = train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()  # two rows
     n = sum(r.n for r in size)
     weight = F.lit(0.0)
     for r in size:
         weight = F.when(F.col("label") == r.label, n / (2.0 * r.n)).otherwise(weight)
-    ready = PipelineModel(steps).transform(train.select("hostname", "label"))
-    ready = ready.select("_unit", F.col("label").cast("double"), weight.alias("_weight"))
+    ready = model.vectors(train.select("hostname", F.col("label").cast("double"), weight.alias("_weight")))
     regression = LogisticRegression(
         featuresCol="_unit", labelCol="label", weightCol="_weight", maxIter=iterations,
         standardization=False, regParam=1.0 / n, tol=1e-4,
     )
-    return PipelineModel([*steps, regression.fit(ready)])
+    # Stored, as each of up to `iterations` steps reads the vectors.
+    fitted = regression.fit(durable(ready.select("_unit", "label", "_weight")))
+    model.coefficient, model.intercept = fitted.coefficients.toArray(), float(fitted.intercept)
+    return model
 
 
 # ---------------------------------------------------------------------- boosted trees
@@ -149,13 +216,13 @@ def top_importance(model: Boosted, k: int = 15) -> DataFrame:
     return importance(model).orderBy(F.col("importance").desc(), "feature").limit(k)
 
 
-def predict(model: PipelineModel | Boosted, df: DataFrame, output: str = "probability") -> DataFrame:
+Model = NgramModel | Boosted
+Fit = Callable[[DataFrame], Model]
+
+
+def predict(model: Model, df: DataFrame, output: str = "probability") -> DataFrame:
     """Add the probability of class 1; every partition is scored where it lies."""
-    keep = [c for c in df.columns if c != output]
-    if isinstance(model, Boosted):
-        return model.score(df.select(*keep), output)
-    scored = model.transform(df.select(*keep))
-    return scored.select(*keep, vector_to_array("probability")[1].alias(output))
+    return model.score(df.select(*[c for c in df.columns if c != output]), output)
 
 
 # ------------------------------------------------------------------------- evaluation
@@ -166,7 +233,7 @@ class Evaluation:
     oof: DataFrame
     test: DataFrame
     stress: DataFrame
-    model: PipelineModel | Boosted
+    model: Model
 
 
 def fit_eval(fit: Fit, train: DataFrame, test: DataFrame, stress: DataFrame, k: int = 5) -> Evaluation:
@@ -176,7 +243,7 @@ def fit_eval(fit: Fit, train: DataFrame, test: DataFrame, stress: DataFrame, k:
 
 
 def evaluate(
-    parts: list[PipelineModel | Boosted], model: PipelineModel | Boosted, train: DataFrame, test: DataFrame, stress: DataFrame,
+    parts: list[Model], model: Model, train: DataFrame, test: DataFrame, stress: DataFrame,
 ) -> Evaluation:
     """Scores of train by the model of `parts` that has not seen the row's fold, of the rest by `model`."""
     keep = [c for c in ("hostname", "label", "fold", "source") if c in train.columns]
@@ -320,7 +387,7 @@ def compare_models(
 class Champion:
     """The stacked model with its threshold: hostname in, probability out."""
 
-    ngram: PipelineModel
+    ngram: NgramModel
     boosted: Boosted
     threshold: float
     data_version: str = DATA_VERSION
@@ -344,7 +411,7 @@ class Champion:
         return self.score_features(with_features(hosts)).select(*keep, "probability")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.ngram.write().save(f"{path}/ngram")
+        self.ngram.save(spark, f"{path}/ngram")
         self.boosted.save(spark, f"{path}/boosted")
         row = [(self.threshold, self.data_version, self.feature_version)]
         spark.createDataFrame(
@@ -355,7 +422,7 @@ class Champion:
     def load(spark: SparkSession, path: str) -> "Champion":
         meta = spark.read.parquet(f"{path}/metadata").first()
         return Champion(
-            PipelineModel.load(f"{path}/ngram"), Boosted.load(spark, f"{path}/boosted"),
+            NgramModel.load(spark, f"{path}/ngram"), Boosted.load(spark, f"{path}/boosted"),
             meta.threshold, meta.data_version, meta.feature_version,
         )
 

@@ -84,10 +84,8 @@ def test_ngrams(spark):
 def test_tfidf_vector(spark):
     hosts = ["aaaa.com", "bbb.com", "aaaa.net"]
     df = spark.createDataFrame([(h,) for h in hosts], "hostname string")
-    steps = tr.ngram_steps(df, min_df=1)
-    from pyspark.ml import PipelineModel
-
-    row = PipelineModel(steps).transform(df.where("hostname = 'aaaa.com'")).first()
+    model = tr.NgramModel.of(tr.ngram_vocabulary(df, min_df=1))
+    row = model.vectors(df.where("hostname = 'aaaa.com'")).first()
     grams = Counter(char_wb("aaaa.com"))
     assert grams["aaa"] == 2
     want = {
@@ -95,8 +93,7 @@ def test_tfidf_vector(spark):
         for g, c in grams.items()
     }
     norm = math.sqrt(sum(v * v for v in want.values()))
-    vocabulary = steps[1].vocabulary
-    got = {vocabulary[i]: v for i, v in zip(row._unit.indices, row._unit.values)}
+    got = {model.grams[i]: v for i, v in zip(row._unit.indices, row._unit.values)}
     assert got == pytest.approx({g: v / norm for g, v in want.items()})
 
 

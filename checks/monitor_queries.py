@@ -12,8 +12,7 @@ from hostlens.plans import monitoring as mon
 from hostlens.sources import fixtures as fx
 from hostlens.sources.scratch import durable
 
-# The same at every size of the tables; the library's default is a day of 2,000 rows.
-SLICE_ROWS = 100
+SLICE_ROWS = drift.DAY_SIZE  # 2,000 rows, at every size of the tables
 
 
 def _traffic(spark, sf):

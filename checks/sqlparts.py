@@ -21,8 +21,15 @@ def r9(expr: str, name: str) -> str:
     return f"round(CAST({expr} AS DOUBLE) + 1e-12::DOUBLE, 9) + 0 AS {name}"
 
 
-def word(text: str) -> str:
-    return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
+def word(text: str, at: int = 0) -> str:
+    return f"('0x' || substr(md5({text}), {8 * at + 1}, 8))::BIGINT"
+
+
+def words(key: str) -> str:
+    return ", ".join(f"{word(key, i)} % {PRIME} AS {name}" for i, name in enumerate("xy"))
+
+
+DRAWN = f"((x * a + b) % {PRIME} * y + x * c) % {PRIME} / {PRIME}.0::DOUBLE"
 
 
 def host_steps(source: str, keep: str) -> str:
@@ -249,18 +256,22 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
       count(*) OVER (PARTITION BY label) AS n
     FROM (SELECT *, {word("request_id || '|42'")} AS w FROM scored))"""),
     "hf": (("held", "feats"), "SELECT * FROM held JOIN feats USING (hostname)"),
-    "ref": (("hf",), "SELECT * FROM hf WHERE is_reference"),
+    "ref": (("hf",), f"""
+  SELECT * EXCLUDE (part) REPLACE (request_id || '-' || part AS request_id,
+    CASE WHEN {word("request_id || '-' || part")} / 4294967296.0::DOUBLE
+           < probability * (CASE WHEN extract(day FROM timestamp) > 20 THEN 0.5 ELSE 1.0 END)::DOUBLE
+         THEN 1 ELSE 0 END AS label)
+  FROM hf, range(20) t(part) WHERE is_reference"""),
     "traffic": (("hf",), "SELECT * FROM hf WHERE NOT is_reference"),
     "draws": ((), f"""
   SELECT d::INT AS draw, {word("'slope|' || d || '|42'")} % {PRIME - 1} + 1 AS a,
-    {word("'shift|' || d || '|42'")} % {PRIME} AS b FROM range(200) t(d)"""),
+    {word("'shift|' || d || '|42'")} % {PRIME} AS b, {word("'mix|' || d || '|42'")} % {PRIME} AS c FROM range(200) t(d)"""),
     "sliced": (("ref", "draws"), f"""
-  SELECT * EXCLUDE (rn, u, a, b, draw), draw AS slice FROM (
-    SELECT *, row_number() OVER (PARTITION BY draw ORDER BY u, request_id) AS rn FROM (
-      SELECT *, 100 AS m, (SELECT count(*) FROM ref) AS n_ref,
-        (({word("request_id || '|42'")} % {PRIME}) * a + b) % {PRIME} / {PRIME}.0::DOUBLE AS u
-      FROM ref, draws))
-  WHERE rn <= m"""),
+  SELECT ref.*, draw AS slice FROM (
+    SELECT request_id, draw, row_number() OVER (PARTITION BY draw ORDER BY u, request_id) AS rn FROM (
+      SELECT request_id, draw, {DRAWN} AS u
+      FROM (SELECT request_id, {words("request_id || '|42'")} FROM ref), draws))
+  JOIN ref USING (request_id) WHERE rn <= 2000"""),
 }
 
 LONG = "UNPIVOT (SELECT {by}, " + ", ".join(
@@ -338,9 +349,9 @@ STEPS["interval"] = (("traffic", "draws"), f"""
     quantile_cont(r, 0.025) AS est_recall_low, quantile_cont(r, 0.975) AS est_recall_high
   FROM (SELECT day, draw, count(*) FILTER (hit AND f) / greatest(count(*) FILTER (f), 1) AS p,
           count(*) FILTER (hit AND f) / greatest(count(*) FILTER (hit), 1) AS r
-        FROM (SELECT day, draw, probability >= 0.626::DOUBLE AS f,
-                (({word("request_id || '|42'")} % {PRIME}) * a + b) % {PRIME} / {PRIME}.0::DOUBLE < probability AS hit
-              FROM traffic, draws) GROUP BY day, draw) GROUP BY day""")
+        FROM (SELECT day, draw, probability >= 0.626::DOUBLE AS f, {DRAWN} < probability AS hit
+              FROM (SELECT day, probability, {words("request_id || '|42'")} FROM traffic), draws)
+        GROUP BY day, draw) GROUP BY day""")
 STEPS["daily"] = (("day_perf", "day_drift", "interval"), """
   SELECT * FROM day_perf JOIN day_drift USING (day) JOIN interval USING (day)""")
 STEPS["alerts"] = (("daily", "limits"), "WITH long AS (UNPIVOT (SELECT day, " + ", ".join(CHECKS)

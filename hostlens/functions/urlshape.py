@@ -49,7 +49,7 @@ def md5_uniform(*parts) -> Column:
     return md5_word(*parts) / F.lit(4294967296.0)
 
 
-def md5_word(*parts) -> Column:
-    """First 32 bits of the md5 of the joined parts, as a non-negative BIGINT."""
+def md5_word(*parts, at: int = 0) -> Column:
+    """32 bits of the md5 of the joined parts (word 0 to 3 of it), as a non-negative BIGINT."""
     text = F.concat_ws("|", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 8 * at + 1, 8), 16, 10).cast("bigint")

@@ -36,25 +36,33 @@ def realized(flagged: Column, label: Column) -> list[Column]:
     ]
 
 
-def draw_constants(draws: int, seed: int) -> list[tuple[int, int]]:
-    """(slope, shift) of each draw's linear map modulo PRIME."""
+def draw_constants(draws: int, seed: int) -> list[tuple[int, int, int]]:
+    """(slope, shift, mix) of each draw's map modulo PRIME."""
 
     def word(name: str, draw: int) -> int:
         return int(hashlib.md5(f"{name}|{draw}|{seed}".encode()).hexdigest()[:8], 16)
 
-    return [(word("slope", d) % (PRIME - 1) + 1, word("shift", d) % PRIME) for d in range(draws)]
+    return [
+        (word("slope", d) % (PRIME - 1) + 1, word("shift", d) % PRIME, word("mix", d) % PRIME) for d in range(draws)
+    ]
 
 
 def _draws(key: str, draws: int, seed: int) -> Column:
-    """Array of (draw, u): u uniform in [0, 1) per draw. The row's key is hashed once; a draw only
-    costs a multiplication modulo a prime."""
-    slopes, shifts = zip(*draw_constants(draws, seed))
-    maps = F.arrays_zip(F.lit(list(slopes)).alias("a"), F.lit(list(shifts)).alias("b"))
-    maps = maps.cast("array<struct<a:bigint,b:bigint>>")
-    word = F.array(md5_word(F.col(key), F.lit(seed)) % PRIME)
-    return F.flatten(F.transform(word, lambda w: F.transform(maps, lambda m, i: F.struct(
-        i.alias("draw"), ((w * m["a"] + m["b"]) % PRIME / F.lit(float(PRIME))).alias("u")
-    ))))
+    """Array of (draw, u): u uniform in [0, 1) per draw. The row's key is hashed once, to two words x and y
+    below a prime; draw (a, b, c) is ((a x + b) y + c x) modulo the prime. Rows share their draws only if
+    they share both words (61 bits), and the product keeps draws off common lines and planes."""
+    constants = draw_constants(draws, seed)
+    maps = F.arrays_zip(*[F.lit([m[i] for m in constants]).alias(name) for i, name in enumerate("abc")])
+    maps = maps.cast("array<struct<a:bigint,b:bigint,c:bigint>>")
+    x, y = (md5_word(F.col(key), F.lit(seed), at=i) % PRIME for i in (0, 1))
+
+    def uniform(w: Column, m: Column) -> Column:
+        return ((w["x"] * m["a"] + m["b"]) % PRIME * w["y"] + w["x"] * m["c"]) % PRIME / F.lit(float(PRIME))
+
+    words = F.array(F.struct(x.alias("x"), y.alias("y")))
+    return F.flatten(F.transform(words, lambda w: F.transform(
+        maps, lambda m, i: F.struct(i.alias("draw"), uniform(w, m).alias("u"))
+    )))
 
 
 def with_draws(df: DataFrame, key: str, draws: int, seed: int) -> DataFrame:

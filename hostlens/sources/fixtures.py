@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens.functions.features import with_features
 from hostlens.functions.hostname import with_hostname, with_registered_domain
-from hostlens.functions.urlshape import day_index
+from hostlens.functions.urlshape import day_index, md5_uniform
 from hostlens.operators.sampling import stratified_holdout
 from hostlens.sources.io import spread
 from hostlens.sources.scratch import durable, present
 
 THRESHOLD = 0.626
 START = "2024-01-01"
+PARTS = 20  # requests of a held event
 
 # Curated legitimate hosts with a subdomain, for measuring only.
 STRESS_HOSTS = """
@@ -117,6 +118,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stage("scored", spark, sf_dir, lambda: _scored(spark, sf_dir))
 
 
+def _honest() -> Column:
+    return F.when(F.dayofmonth("timestamp") > 20, 0.5).otherwise(1.0)
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored requests with their label and host: one per event.
 
@@ -127,9 +132,8 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(event_id AS STRING) AS request_id", "event_id", "CAST(ts AS TIMESTAMP) AS timestamp", "event_type AS source",
         "value / (value + 50) AS probability", f"{u} AS u",
     )
-    honest = F.when(F.dayofmonth("timestamp") > 20, 0.5).otherwise(1.0)
     events = events.withColumn(
-        "label", F.when(F.col("u") < F.col("probability") * honest, 1).otherwise(0)
+        "label", F.when(F.col("u") < F.col("probability") * _honest(), 1).otherwise(0)
     ).withColumn("day", day_index(F.col("timestamp"), START))
     named = with_hostname(urls(spark, sf_dir).select("url_id", "url"))
     return events.drop("u").join(named, F.col("event_id") == F.col("url_id")).select(
@@ -138,10 +142,19 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`scored` with the 22 features, and `is_reference` for a 20% holdout per label."""
+    """`scored` with the 22 features, and `is_reference` for a 20% holdout per label.
+
+    Each held event stands for PARTS requests with labels of their own, so that the reference has
+    several days' worth of rows on the smallest tables too.
+    """
 
     def build():
-        return with_features(stratified_holdout(scored(spark, sf_dir), "label", "request_id"))
+        rows = stratified_holdout(scored(spark, sf_dir), "label", "request_id")
+        parts = rows.where("is_reference").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        parts = parts.withColumn("request_id", F.concat_ws("-", "request_id", "part")).drop("part")
+        hit = md5_uniform(F.col("request_id")) < F.col("probability") * _honest()
+        parts = parts.withColumn("label", F.when(hit, 1).otherwise(0))
+        return with_features(rows.where("NOT is_reference").unionByName(parts))
 
     return _stage("scored_features", spark, sf_dir, build)
 

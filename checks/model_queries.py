@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.data_queries import dataset
+from checks.metric_queries import RANKING
 from checks.registry import query, shared
 from checks.sqlparts import oracle, r9
 from hostlens.functions.features import with_features
@@ -174,11 +175,24 @@ def t8(spark, sf):
     return tr.top_importance(champion(spark, sf).boosted)
 
 
-@query("t9_single_feature_power")
+@query("t9_single_feature_power", oracle(f"""
+SELECT feature, {r9('auc_mean', 'auc_mean')}, {r9('auc_std', 'auc_std')}, auc_mean > 0.9 AS possible_shortcut FROM power""", "power"))
 def t9(spark, sf):
     return single_feature_power(folded(spark, sf), k=K)
 
 
+FOLD_RANKING = RANKING.format(by="fold,", part="PARTITION BY fold", group="GROUP BY fold").replace(
+    "FROM scored", "FROM (SELECT fold, label, hostname_length / 253 AS probability FROM folded)")
+
+
+@query("a16_average_over_folds", oracle(f"""
+SELECT {r9('avg(ap)', 'cv_pr_auc_mean')}, {r9('stddev_pop(ap)', 'cv_pr_auc_std')}, {r9('avg(auc)', 'cv_roc_auc_mean')} FROM ({FOLD_RANKING})""", "folded"))
+def a16_folds(spark, sf):
+    """Ranking of each fold by the length of the host, and its mean over the folds."""
+    scores = folded(spark, sf).select("fold", "label", (F.col("hostname_length") / 253).alias("probability"))
+    return metrics.fold_summary(metrics.ranking_metrics(scores, by=("fold",)))
+
+
 @query("t10_bulk_scoring")
 def t10(spark, sf):
     return champion(spark, sf).score(rows(spark, sf).select("hostname", "label"))

@@ -240,6 +240,11 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
   SELECT hostname, registered_domain, label, source, fold,
     CASE WHEN fold = 0 THEN 'test' ELSE 'train' END AS split
   FROM merged JOIN m_fold ON registered_domain = g"""),
+    "train": (("dataset",), "SELECT * EXCLUDE (fold) FROM dataset WHERE split = 'train'"),
+    "train_folds": (("train",), "*" + FOLD_STEPS.format(p="t_", src="train")),
+    "folded": (("train", "train_folds", "feats"), """
+  SELECT train.*, t_fold.fold, feats.* EXCLUDE (hostname)
+  FROM train JOIN t_fold ON registered_domain = g JOIN feats ON feats.hostname = train.hostname"""),
     # Scored requests.
     "scored": (("unamed",), f"""
   SELECT request_id, timestamp, day, hostname, source, probability,
@@ -294,6 +299,49 @@ KS_GRID = """
     FROM {p}grid)"""
 BINARY = text_set(lists.BINARY_FEATURES)
 
+# Trees on one feature: counts per value, three levels of best cuts, rates of the leaves.
+STEPS["power_counts"] = (("folded",), f"""
+  SELECT feature, model, value, count(*) FILTER (fold <> model) AS n, count(*) FILTER (fold <> model AND label = 1) AS pos,
+    count(*) FILTER (fold = model) AS val_n, count(*) FILTER (fold = model AND label = 1) AS val_pos, 1 AS node
+  FROM (UNPIVOT (SELECT fold, label, {", ".join(f"round({f}::DOUBLE, 12) AS {f}" for f in lists.FEATURES)} FROM folded)
+        ON {", ".join(lists.FEATURES)} INTO NAME feature VALUE value), range(5) m(model)
+  GROUP BY feature, model, value""")
+
+
+def _impurity(n: str, pos: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN 2.0::DOUBLE * {pos} * ({n} - {pos}) / {n} ELSE 0 END"
+
+
+def _grown(state: str) -> str:
+    """One more level: each mixed node is cut where the two sides are purest, at the lowest value on a tie."""
+    keep = "feature, model, value, n, pos, val_n, val_pos, node"
+    return f"""
+  SELECT {keep.replace(", node", "")},
+    CASE WHEN all_pos > 0 AND all_pos < all_n AND cut IS NOT NULL THEN node * 2 + (value > cut)::INT ELSE node END AS node
+  FROM (SELECT *, min(CASE WHEN impurity = least_impurity THEN middle END) OVER (PARTITION BY feature, model, node) AS cut
+    FROM (SELECT *, min(impurity) OVER (PARTITION BY feature, model, node) AS least_impurity
+      FROM (SELECT *, CASE WHEN n > 0 AND following IS NOT NULL THEN (value + following) / 2 END AS middle,
+          CASE WHEN n > 0 AND following IS NOT NULL
+               THEN round({_impurity("cum_n", "cum_pos")} + {_impurity("(all_n - cum_n)", "(all_pos - cum_pos)")}, 9) END AS impurity
+        FROM (SELECT {keep}, (sum(n) OVER whole)::BIGINT AS all_n, (sum(pos) OVER whole)::BIGINT AS all_pos,
+            (sum(n) OVER upto)::BIGINT AS cum_n, (sum(pos) OVER upto)::BIGINT AS cum_pos,
+            min(CASE WHEN n > 0 THEN value END) OVER later AS following
+          FROM {state} WINDOW whole AS (PARTITION BY feature, model, node),
+            upto AS (PARTITION BY feature, model, node ORDER BY value ROWS UNBOUNDED PRECEDING),
+            later AS (PARTITION BY feature, model, node ORDER BY value ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)))))"""
+
+
+STEPS["power_1"] = (("power_counts",), _grown("power_counts"))
+STEPS["power_2"] = (("power_1",), _grown("power_1"))
+STEPS["power_3"] = (("power_2",), _grown("power_2"))
+STEPS["power"] = (("power_3",), """
+  SELECT feature, avg(auc) AS auc_mean, stddev_pop(auc) AS auc_std FROM (
+    SELECT feature, model, sum((vn - vp) * (above + vp / 2)) / nullif(sum(vp) * sum(vn - vp), 0) AS auc FROM (
+      SELECT *, sum(vp) OVER (PARTITION BY feature, model ORDER BY rate DESC) - vp AS above FROM (
+        SELECT feature, model, round(rate, 12) AS rate, sum(vn)::DOUBLE AS vn, sum(vp)::DOUBLE AS vp FROM (
+          SELECT feature, model, node, sum(pos) / sum(n) AS rate, sum(val_n) AS vn, sum(val_pos) AS vp
+          FROM power_3 GROUP BY ALL) GROUP BY 1, 2, 3)) GROUP BY 1, 2) GROUP BY 1""")
+
 STEPS["ref_long"] = (("ref",), LONG.format(by="request_id", src="ref"))
 STEPS["day_long"] = (("traffic",), LONG.format(by="day", src="traffic"))
 STEPS["slice_long"] = (("sliced",), LONG.format(by="slice", src="sliced"))

@@ -57,12 +57,12 @@ def single_feature_power(
 ) -> DataFrame:
     """(feature, auc_mean, auc_std, flag) over k folds; one pass over the rows.
 
-    The counts per (feature, fold, value) are small (see drift.value_counts). Model i trains on
-    the folds other than i and is judged on fold i.
+    The counts per (feature, fold, value) are small, and values are rounded (see drift.value_counts).
+    Model i trains on the folds other than i and is judged on fold i.
     """
     long = feats.select(
         fold, F.col(label).cast("bigint").alias("y"),
-        *[F.col(f).cast("double").alias(f) for f in FEATURES],
+        *[F.round(F.col(f).cast("double"), 12).alias(f) for f in FEATURES],
     ).unpivot([fold, "y"], list(FEATURES), "feature", "value")
     by_fold = long.groupBy("feature", fold, "value").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")

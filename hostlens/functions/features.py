@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hostlens.functions import lists
 from hostlens.functions.hostname import PARTS, with_host_parts
+from hostlens.functions.lists import FeatureLists
 from hostlens.functions.suffix import SuffixRules, SuffixTable
 
 
@@ -47,43 +48,51 @@ def vowel_count(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, "aeiou", ""))
 
 
-def _in(values) -> str:
-    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _in(text: str, values) -> str:
+    return f"{text} IN (" + ", ".join(map(_text, values)) + ")" if values else "false"
+
+
+def _any(hits: list[str]) -> str:
+    return " OR ".join(hits) or "false"
 
 
 # The list-driven features are SQL text: a single parse instead of hundreds of driver calls.
 
 
-def keyword_count(text: str) -> Column:
+def keyword_count(text: str, given: FeatureLists = FeatureLists()) -> Column:
     """How many of the suspicious words occur; each counts once."""
-    hits = [f"int(contains({text}, '{word}'))" for word in lists.SUSPICIOUS_KEYWORDS]
-    return F.expr(" + ".join(hits))
+    hits = [f"int(contains({text}, {_text(word)}))" for word in dict.fromkeys(given.keywords)]
+    return F.expr(" + ".join(hits) or "0")
 
 
-def brand_impersonation(host: str, registered: str) -> Column:
+def brand_impersonation(host: str, registered: str, given: FeatureLists = FeatureLists()) -> Column:
     """A brand appears in a host whose registered domain the brand does not own."""
     hits = []
-    for brand, owned in lists.BRAND_DOMAINS.items():
-        if brand in lists.WHOLE_TOKEN_BRANDS:
-            seen = f"contains('.' || translate({host}, '-', '.') || '.', '.{brand}.')"
+    for brand, owned in given.brands.items():
+        if brand in given.whole_token_brands:
+            seen = f"contains('.' || translate({host}, '-', '.') || '.', {_text(f'.{brand}.')})"
         else:
-            seen = f"contains({host}, '{brand}')"
-        hits.append(f"({seen} AND {registered} NOT IN {_in(owned)})")
-    return F.expr(" OR ".join(hits))
+            seen = f"contains({host}, {_text(brand)})"
+        hits.append(f"({seen} AND NOT ({_in(registered, owned)}))")
+    return F.expr(_any(hits))
 
 
-def brand_lookalike(name: str, registered: str) -> Column:
+def brand_lookalike(name: str, registered: str, given: FeatureLists = FeatureLists()) -> Column:
     """A token of the name lies within a small edit distance of a brand, but is not it."""
     limit = lists.LOOKALIKE_MAX_DISTANCE
     hits = [
-        f"(length(t) BETWEEN {len(brand) - limit} AND {len(brand) + limit} AND t != '{brand}'"
-        f" AND {registered} NOT IN {_in(owned)}"
-        f" AND levenshtein(t, '{brand}', {limit}) BETWEEN 0 AND {limit})"
-        for brand, owned in lists.BRAND_DOMAINS.items()
+        f"(length(t) BETWEEN {len(brand) - limit} AND {len(brand) + limit} AND t != {_text(brand)}"
+        f" AND NOT ({_in(registered, owned)})"
+        f" AND levenshtein(t, {_text(brand)}, {limit}) BETWEEN 0 AND {limit})"
+        for brand, owned in given.brands.items()
         if len(brand) >= lists.LOOKALIKE_MIN_BRAND_LENGTH
     ]
     long_enough = f"length(t) >= {lists.LOOKALIKE_MIN_TOKEN_LENGTH}"
-    return F.expr(f"exists(split({name}, '-'), t -> {long_enough} AND ({' OR '.join(hits)}))")
+    return F.expr(f"exists(split({name}, '-'), t -> {long_enough} AND ({_any(hits)}))")
 
 
 def unfold_homoglyphs(token: str) -> str:
@@ -93,17 +102,17 @@ def unfold_homoglyphs(token: str) -> str:
     return f"translate({token}, '{seen}', '{meant}')"
 
 
-def homoglyph_brand(name: str, registered: str) -> Column:
+def homoglyph_brand(name: str, registered: str, given: FeatureLists = FeatureLists()) -> Column:
     """A token spells a brand once look-alike characters are read as they look."""
-    owned = [f"{b}|{d}" for b, domains in lists.BRAND_DOMAINS.items() for d in domains]
+    owned = [f"{b}|{d}" for b, domains in given.brands.items() for d in domains]
     meant = unfold_homoglyphs("t")
     return F.expr(
-        f"exists(split({name}, '-'), t -> {meant} != t AND {meant} IN {_in(lists.BRAND_DOMAINS)}"
-        f" AND {meant} || '|' || {registered} NOT IN {_in(owned)})"
+        f"exists(split({name}, '-'), t -> {meant} != t AND {_in(meant, given.brands)}"
+        f" AND NOT ({_in(f'{meant} || {_text("|")} || {registered}', owned)}))"
     )
 
 
-def feature_columns(host_name: str) -> list[Column]:
+def feature_columns(host_name: str, given: FeatureLists = FeatureLists()) -> list[Column]:
     """The features in model order, from a host column and its PARTS."""
     host, sub = F.col(host_name), F.col("subdomain")
     domain, name = F.col("domain_label"), F.col("effective_name")
@@ -120,19 +129,17 @@ def feature_columns(host_name: str) -> list[Column]:
         "vowel_ratio": ratio(vowel_count(domain), domain),
         "is_ip": F.col("is_ip").cast("int"),
         "is_punycode": host.contains("xn--").cast("int"),
-        "brand_impersonation": brand_impersonation(host_name, "registered_domain").cast("int"),
-        "suspicious_keyword_count": keyword_count(host_name),
-        "is_free_hosting": F.expr(f"int(registered_domain IN {_in(lists.FREE_HOSTING_DOMAINS)})"),
-        "tld_risky": F.expr(
-            f"int(substring_index(suffix, '.', -1) IN {_in(lists.RISKY_TLDS)})"
-        ),
+        "brand_impersonation": brand_impersonation(host_name, "registered_domain", given).cast("int"),
+        "suspicious_keyword_count": keyword_count(host_name, given),
+        "is_free_hosting": F.expr(f"int({_in('registered_domain', given.free_hosting)})"),
+        "tld_risky": F.expr(f"int({_in("substring_index(suffix, '.', -1)", given.risky_endings)})"),
         "name_length": F.length(name),
         "name_entropy": shannon_entropy(name),
         "name_digit_ratio": ratio(digit_count(name), name),
         "name_num_hyphens": hyphen_count(name),
-        "name_keyword_count": keyword_count("effective_name"),
-        "name_brand_lookalike": brand_lookalike(*own).cast("int"),
-        "name_homoglyph_brand": homoglyph_brand(*own).cast("int"),
+        "name_keyword_count": keyword_count("effective_name", given),
+        "name_brand_lookalike": brand_lookalike(*own, given).cast("int"),
+        "name_homoglyph_brand": homoglyph_brand(*own, given).cast("int"),
     }
     return [values[f].alias(f) for f in lists.FEATURES]
 
@@ -142,13 +149,14 @@ def with_features(
     host: str = "hostname",
     rules: SuffixRules | SuffixTable | None = None,
     keep_parts: tuple[str, ...] = (),
+    given: FeatureLists = FeatureLists(),
 ) -> DataFrame:
-    """Add the 22 features (and the named PARTS); a host is read trimmed and lowercased."""
+    """Add the 22 features (and the named PARTS), by the given lists; a host is read trimmed and lowercased."""
     keep_parts = tuple(p for p in PARTS if p in keep_parts or p in df.columns)
     keep = [c for c in df.columns if c not in PARTS and c not in lists.FEATURES]
     df = df.select(*keep).withColumn("_host", F.lower(F.trim(F.coalesce(host, F.lit("")))))
-    df = with_host_parts(df, "_host", rules)
-    return df.select(*keep, *keep_parts, *feature_columns("_host"))
+    df = with_host_parts(df, "_host", rules, given.free_hosting)
+    return df.select(*keep, *keep_parts, *feature_columns("_host", given))
 
 
 def clean_looking() -> Column:

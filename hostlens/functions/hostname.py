@@ -72,7 +72,8 @@ def with_hostname(df: DataFrame, url: str = "url", host: str = "hostname") -> Da
 
 
 def with_host_parts(
-    df: DataFrame, host: str = "hostname", rules: SuffixRules | SuffixTable | None = None
+    df: DataFrame, host: str = "hostname", rules: SuffixRules | SuffixTable | None = None,
+    free_hosting: tuple[str, ...] = FREE_HOSTING_DOMAINS,
 ) -> DataFrame:
     """Add PARTS, computed once per row."""
     rules = rules or default_rules()
@@ -93,13 +94,13 @@ def with_host_parts(
         F.concat_ws(".", "domain_label", "suffix"),
     ).otherwise(h)
     df = df.withColumn("registered_domain", registered)
-    df = df.withColumn("effective_name", effective_name())
+    df = df.withColumn("effective_name", effective_name(free_hosting))
     return computed_once(df.drop("_k", "_left"), {part: F.col(part) for part in PARTS})
 
 
-def effective_name() -> Column:
+def effective_name(free_hosting: tuple[str, ...] = FREE_HOSTING_DOMAINS) -> Column:
     """The label a site owner chose: left of a free-hosting domain, else the domain label."""
-    hosted = F.col("registered_domain").isin(*FREE_HOSTING_DOMAINS) & (F.col("subdomain") != "")
+    hosted = F.col("registered_domain").isin(*free_hosting) & (F.col("subdomain") != "")
     return (
         F.when(F.col("is_ip"), "")
         .when(hosted, F.substring_index("subdomain", ".", -1))

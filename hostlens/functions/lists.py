@@ -1,5 +1,7 @@
 """Fixed values that the features are defined by (brands, words, hosts, endings)."""
 
+from dataclasses import dataclass, field
+
 # Brand word -> registered domains the brand owns.
 BRAND_DOMAINS = {
     "paypal": ("paypal.com", "paypal.me"),
@@ -88,3 +90,15 @@ SIGNALS = (
     ("is_ip", "IP address"),
     ("is_punycode", "punycode"),
 )
+
+
+@dataclass(frozen=True)
+class FeatureLists:
+    """The lists that the features read, each replaceable. `brands`: brand word -> domains it owns (none is
+    fine). Meant for up to some hundred entries; see operators.brands for long lists of brands."""
+
+    brands: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(BRAND_DOMAINS))
+    whole_token_brands: tuple[str, ...] = WHOLE_TOKEN_BRANDS
+    keywords: tuple[str, ...] = SUSPICIOUS_KEYWORDS
+    free_hosting: tuple[str, ...] = FREE_HOSTING_DOMAINS
+    risky_endings: tuple[str, ...] = RISKY_TLDS

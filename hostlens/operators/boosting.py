@@ -160,16 +160,22 @@ class Boosted:
         width, last = 1 << self.depth, self.depth
         keep = [F.col(c) for c in df.columns if c != output]
         x = F.array(*[F.col(c).cast("double") for c in self.columns])
-        # Behind a one-row inline, so that the array is made once for a row and not in every comparison.
-        ready = df.select(*keep, F.inline(F.array(F.struct(
-            x.alias("_x"), constant(np.maximum(self.feature, 0).ravel().tolist(), "int").alias("_f"),
-            _finite(self.threshold.ravel()).alias("_t"), _finite(self.value[:, width:].ravel()).alias("_v"),
-        ))))
-        walk = (
-            f"aggregate(sequence(0, {len(self.feature) - 1}), 0D, (m, t) -> m + _v[t * {width} - {width} + "
-            f"aggregate(sequence(1, {last}), 1, (i, l) -> i * 2 + CAST(_x[_f[t * {width} + i]] >= _t[t * {width} + i] AS INT))])"
-        )
-        return ready.select(*keep, (1.0 / (1.0 + F.exp(-F.expr(walk)))).alias(output))
+        # Behind a one-row inline, so that the array is made once for a row and not in every comparison. The
+        # trees are constants of the expression: as columns they would be copied into every row.
+        ready = df.select(*keep, F.inline(F.array(F.struct(x.alias("_x")))))
+        feature = constant(np.maximum(self.feature, 0).ravel().tolist(), "int")
+        threshold, value = _finite(self.threshold.ravel()), _finite(self.value[:, width:].ravel())
+
+        def leaf(t: Column) -> Column:
+            def down(i: Column, _: Column) -> Column:
+                right = F.get("_x", F.get(feature, t * width + i)) >= F.get(threshold, t * width + i)
+                return i * 2 + right.cast("int")
+
+            return F.aggregate(F.sequence(F.lit(1), F.lit(last)), F.lit(1), down)
+
+        trees = F.sequence(F.lit(0), F.lit(len(self.feature) - 1))
+        margin = F.aggregate(trees, F.lit(0.0), lambda m, t: m + F.get(value, t * width - width + leaf(t)))
+        return ready.select(*keep, (1.0 / (1.0 + F.exp(-margin))).alias(output))
 
     def importance(self) -> list[tuple[str, float]]:
         """(column, share): the mean gain of a column's splits, as a share of all columns'."""

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -98,25 +98,29 @@ class NgramModel:
         its count times its weight; not yet of unit length."""
         slots = _slots(len(self.grams))
         starts = np.searchsorted([_slot(g, slots) for g in self.grams], np.arange(slots + 1))
-        rows = computed_once(df, {
-            "_grams": F.coalesce(F.expr(ngram_sql(host)), F.array().cast("array<string>")),
-            "_table": F.struct(
-                constant(self.grams, "string").alias("gram"), constant(starts.tolist(), "int").alias("start"),
-                constant(self.weight.tolist(), "double").alias("weight"),
-            ),
-        })
-        # Slot, place and count of each distinct n-gram; array_position is 0 where the slot has another.
-        at = (
-            "_table.start[s] + array_position(slice(_table.gram, _table.start[s] + 1, "
-            "_table.start[s + 1] - _table.start[s]), g)"
-        )
-        found = (
-            f"filter(transform(array_distinct(_grams), g -> transform(array(CAST(crc32(g) & {slots - 1} AS INT)), s -> "
-            f"named_struct('at', CAST(IF({at} > _table.start[s], {at}, 0) AS INT), "
-            f"'c', size(_grams) - size(array_remove(_grams, g))))[0]), e -> e.at > 0)"
-        )
-        x = f"transform({found}, e -> named_struct('at', e.at - 1, 'x', (1 + ln(e.c)) * _table.weight[e.at - 1]))"
-        return computed_once(rows, {"_entries": F.expr(x)}).drop("_grams", "_table")
+        rows = computed_once(df, {"_grams": F.coalesce(F.expr(ngram_sql(host)), F.array().cast("array<string>"))})
+        # Constants stay inside the expressions: as columns they would be copied into every row.
+        gram, start = constant(self.grams, "string"), constant(starts.tolist(), "int")
+        weight = constant(self.weight.tolist(), "double")
+        rows = computed_once(rows, {"_distinct": F.array_distinct("_grams")})
+        once = F.size("_distinct") == F.size("_grams")
+
+        def hashed(g: Column) -> Column:
+            count = F.when(once, 1).otherwise(F.size("_grams") - F.size(F.array_remove("_grams", g)))
+            slot = F.crc32(g.cast("binary")).bitwiseAND(slots - 1).cast("int")
+            return F.struct(g.alias("g"), count.alias("c"), slot.alias("s"))
+
+        def placed(e: Column) -> Column:
+            first = F.get(start, e["s"])
+            of_slot = F.slice(gram, first + 1, F.get(start, e["s"] + 1) - first)
+            return F.struct(e["c"].alias("c"), first.alias("first"), F.array_position(of_slot, e["g"]).cast("int").alias("nth"))
+
+        def weighed(e: Column) -> Column:
+            at = e["first"] + e["nth"] - 1
+            return F.struct(at.alias("at"), ((1 + F.log(e["c"])) * F.get(weight, at)).alias("x"))
+
+        found = F.filter(F.transform(F.transform("_distinct", hashed), placed), lambda e: e["nth"] > 0)
+        return computed_once(rows, {"_entries": F.transform(found, weighed)}).drop("_grams", "_distinct")
 
     def vectors(self, df: DataFrame, output: str = "_unit", host: str = "hostname") -> DataFrame:
         """Add the tf-idf vector of unit length (all 0 without known n-grams), by way of the vector's JSON form:
@@ -134,10 +138,10 @@ class NgramModel:
     def score(self, df: DataFrame, output: str = "probability", host: str = "hostname") -> DataFrame:
         """Add the probability of class 1."""
         keep = [F.col(c) for c in df.columns if c != output]
-        ready = computed_once(self._entries(df, host), {"_coefficient": constant(self.coefficient.tolist(), "double")})
-        dot = "aggregate(_entries, 0D, (a, e) -> a + e.x * _coefficient[e.at])"
-        margin = F.expr(f"IF(size(_entries) = 0, 0D, {dot} / {_NORM})") + F.lit(float(self.intercept))
-        return ready.select(*keep, (1.0 / (1.0 + F.exp(-margin))).alias(output))
+        coefficient = constant(self.coefficient.tolist(), "double")
+        dot = F.aggregate("_entries", F.lit(0.0), lambda a, e: a + e["x"] * F.get(coefficient, e["at"]))
+        margin = F.when(F.size("_entries") == 0, 0.0).otherwise(dot / F.expr(_NORM)) + F.lit(float(self.intercept))
+        return self._entries(df, host).select(*keep, (1.0 / (1.0 + F.exp(-margin))).alias(output))
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(gram, weight, coefficient, intercept): a row per n-gram, in order; one with a NULL gram for the

@@ -392,13 +392,26 @@ STEPS["limits"] = (("slice_checks",), """
 STEPS["day_drift"] = (("day_scores", "thresholds"), "SELECT day, count(*) FILTER (score > threshold) AS n_drifting, "
     "coalesce(string_agg(feature, ', ' ORDER BY list_position(" + text_list(lists.FEATURES)
     + ", feature)) FILTER (score > threshold), '') AS drifting_features FROM day_scores JOIN thresholds USING (feature) GROUP BY day")
-STEPS["interval"] = (("traffic", "draws"), f"""
+# Positives of the rows with one score: a binomial number, by inversion of one uniform per draw.
+STEPS["binomials"] = (("traffic",), """
+  WITH scores AS (SELECT *, CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE 9 * sqrt(n * p * (1 - p)) + 20 END AS reach
+    FROM (SELECT day, probability AS p, count(*) AS n, min(request_id) AS key FROM traffic GROUP BY ALL)),
+  hits AS (SELECT *, unnest(range(lo, greatest(least(ceil(n * p + reach)::BIGINT, n), lo) + 1)) AS k FROM
+    (SELECT *, greatest(floor(n * p - reach)::BIGINT, 0) AS lo FROM scores)),
+  logs AS (SELECT *, sum(CASE WHEN k = lo THEN 0 ELSE ln((n - k + 1) / k) + ln(p / (1 - p)) END)
+    OVER (PARTITION BY day, p ORDER BY k) AS l FROM hits),
+  weights AS (SELECT *, exp(l - max(l) OVER (PARTITION BY day, p)) AS w FROM logs)
+  SELECT day, p, n, key, k, lo, sum(w) OVER (PARTITION BY day, p ORDER BY k DESC) / sum(w) OVER (PARTITION BY day, p) AS tail
+  FROM weights""")
+STEPS["interval"] = (("binomials", "draws"), f"""
   SELECT day, quantile_cont(p, 0.025) AS est_precision_low, quantile_cont(p, 0.975) AS est_precision_high,
     quantile_cont(r, 0.025) AS est_recall_low, quantile_cont(r, 0.975) AS est_recall_high
-  FROM (SELECT day, draw, count(*) FILTER (hit AND f) / greatest(count(*) FILTER (f), 1) AS p,
-          count(*) FILTER (hit AND f) / greatest(count(*) FILTER (hit), 1) AS r
-        FROM (SELECT day, draw, probability >= 0.626::DOUBLE AS f, {DRAWN} < probability AS hit
-              FROM (SELECT day, probability, {words("request_id || '|42'")} FROM traffic), draws)
+  FROM (SELECT day, draw, sum(hits) FILTER (f) / greatest(sum(n) FILTER (f), 1) AS p,
+          coalesce(sum(hits) FILTER (f), 0) / greatest(sum(hits), 1) AS r
+        FROM (SELECT day, draw, any_value(n) AS n, p >= 0.626::DOUBLE AS f,
+                any_value(lo) + count(*) FILTER (k > lo AND tail > u) AS hits
+              FROM (SELECT *, {DRAWN} AS u FROM (SELECT *, {words("key || '|42'")} FROM binomials), draws)
+              GROUP BY day, p, draw)
         GROUP BY day, draw) GROUP BY day""")
 STEPS["daily"] = (("day_perf", "day_drift", "interval"), """
   SELECT * FROM day_perf JOIN day_drift USING (day) JOIN interval USING (day)""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostlens.functions.urlshape import md5_word
@@ -77,26 +77,75 @@ def low_draws(df: DataFrame, key: str, bound: str, draws: int, seed: int) -> Dat
     return df.select(key, F.explode(kept).alias("_d")).select(key, "_d.draw", "_d.u")
 
 
+def with_tails(groups: DataFrame, by: list[str], n: str, p: str) -> DataFrame:
+    """Add `lo` and `tails` to one row per `by`: of a binomial (n, p), `tails[i]` is the probability of more
+    than lo + i hits. What lies beyond nine deviations and 20 hits weighs under 1e-17 and is left out, so
+    that a row holds about 18 sqrt(n) entries at most.
+
+    The weights follow from the ratios of neighbours, relative to the largest; `by` is the partitioning of
+    the groups already, so nothing more is shuffled.
+    """
+    count, share = F.col(n), F.col(p)
+    mean, reach = count * share, F.sqrt(count * share * (1 - share)) * 9 + 20
+    sure = (share <= 0) | (share >= 1)
+    lo = F.when(sure, F.when(share > 0, count).otherwise(0)).otherwise(F.greatest(F.floor(mean - reach), F.lit(0)))
+    hi = F.when(sure, F.col("lo")).otherwise(F.least(F.ceil(mean + reach), count))
+    k = F.col("_k")
+    rows = groups.withColumn("lo", lo.cast("bigint")).withColumn("_k", F.explode(F.sequence("lo", hi.cast("bigint"))))
+    group = Window.partitionBy(*by)
+    upto = group.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    ratio = F.when(k > F.col("lo"), F.log((count - k + 1) / k) + F.log(share) - F.log(1 - share)).otherwise(0.0)
+    rows = rows.withColumn("_log", F.sum(ratio).over(upto))
+    rows = rows.withColumn("_w", F.exp(F.col("_log") - F.max("_log").over(group)))
+    total, below = F.sum("_w").over(group), F.sum("_w").over(upto) - F.col("_w")
+    rows = rows.withColumn("_tail", F.when(k > F.col("lo"), F.struct("_k", ((total - below) / total).alias("t"))))
+    kept = [F.first(c).alias(c) for c in (*groups.columns, "lo") if c not in by]
+    tails = F.array_sort(F.collect_list("_tail")).alias("_tails")
+    return rows.groupBy(*by).agg(*kept, tails).withColumn("tails", F.col("_tails.t")).drop("_tails")
+
+
+def binomial_draws(groups: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
+    """Each row of `with_tails` once per draw, with `draw` and `hits`: lo and the tails above the draw's
+    uniform, found by binary search. The uniforms are those of the row's `key`."""
+    powers = F.lit([1 << i for i in reversed(range(31))])
+    steps = F.filter(powers, lambda step: step <= F.size("tails"))
+
+    def hits(u: Column) -> Column:
+        def further(found: Column, step: Column) -> Column:
+            # Past the end there is no tail.
+            above = F.coalesce(F.get("tails", found + step - 1) > u, F.lit(False))
+            return F.when(above, found + step).otherwise(found)
+
+        return F.col("lo") + F.aggregate("_steps", F.lit(0), further)
+
+    drawn = F.transform(_draws(key, draws, seed), lambda d: F.struct(d["draw"].alias("draw"), hits(d["u"]).alias("hits")))
+    rows = groups.withColumn("_steps", steps).select(*groups.columns, F.explode(drawn).alias("_d"))
+    return rows.select(*[c for c in groups.columns if c not in ("lo", "tails")], "_d.draw", "_d.hits")
+
+
 def estimation_interval(
     df: DataFrame, by: str, key: str, threshold, draws: int = 200, seed: int = 42,
     score: str = "probability",
 ) -> DataFrame:
     """95% interval of the estimates: labels drawn `draws` times from the scores.
 
-    Rows are expanded inside the scan stage and summed per (group, draw) before the shuffle, so
-    what moves is groups * draws rows per task, whatever the number of rows.
+    Rows of equal score are drawn together: their positives are a binomial number, by inversion of one
+    uniform per (group, score, draw), keyed by the smallest `key` among them. The work is draws x distinct
+    scores; it is summed per (group, draw) before the shuffle. Rows without a score take no part.
     """
-    p = F.col(score)
-    expanded = with_draws(df.select(by, key, score), key, draws, seed)
-    drawn = F.col("u") < p
-    per_draw = expanded.groupBy(by, "draw").agg(
-        F.sum((drawn & (p >= threshold)).cast("bigint")).alias("tp"),
-        F.sum((p >= threshold).cast("bigint")).alias("flagged"),
-        F.sum(drawn.cast("bigint")).alias("positive"),
+    p = F.col("_p")
+    rows = df.select(F.col(by).alias("_by"), F.col(key).alias("_key"), F.col(score).cast("double").alias("_p"))
+    scores = rows.where(p.isNotNull()).groupBy("_by", "_p").agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("_key"))
+    drawn = binomial_draws(with_tails(scores, ["_by", "_p"], "n", "_p"), "_key", draws, seed)
+    flagged = p >= threshold
+    per_draw = drawn.groupBy("_by", "draw").agg(
+        F.sum(F.when(flagged, F.col("hits")).otherwise(0)).alias("tp"),
+        F.sum(F.when(flagged, F.col("n")).otherwise(0)).alias("flagged"),
+        F.sum("hits").alias("positive"),
     )
     one = F.lit(1).cast("bigint")
     ratios = per_draw.select(
-        by,
+        F.col("_by").alias(by),
         (F.col("tp") / F.greatest("flagged", one)).alias("precision"),
         (F.col("tp") / F.greatest("positive", one)).alias("recall"),
     )

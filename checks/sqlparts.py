@@ -427,13 +427,14 @@ STEPS["scenarios"] = ((), """
     (21, 30, 'clean-looking phishing')) t(lo, hi, scenario)""")
 
 
-def oracle(final: str, *needs: str) -> str:
-    """The final statement after all the steps it needs, in order."""
+def oracle(final: str, *needs: str, instead: dict | None = None) -> str:
+    """The final statement after all the steps it needs, in order; some may be other ones `instead`."""
     done: list[str] = []
+    steps = STEPS | (instead or {})
 
     def add(name: str) -> None:
         if name not in done:
-            for need in STEPS[name][0]:
+            for need in steps[name][0]:
                 add(need)
             done.append(name)
 
@@ -441,6 +442,6 @@ def oracle(final: str, *needs: str) -> str:
         add(name)
     texts = []
     for name in done:
-        text = STEPS[name][1]
+        text = steps[name][1]
         texts.append(text[1:] if text.startswith("*") else f"{name} AS MATERIALIZED ({text})")
     return ("WITH RECURSIVE " + ",\n".join(texts) + "\n" if texts else "") + final

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hostlens.functions.features import with_features
 from hostlens.functions.urlshape import day_index
-from hostlens.operators import drift
+from hostlens.operators import drift, metrics
 from hostlens.operators.estimation import estimation_interval
 from hostlens.sources.scratch import durable
 
@@ -90,6 +91,33 @@ def monitor(
     )
 
 
+def monitor_log(
+    log: DataFrame, labels: DataFrame, reference_log: DataFrame, threshold: float, start: str, **settings
+) -> Monitoring:
+    """`monitor` from what scoring leaves behind: the prediction log of the traffic, that of the reference,
+    and the delayed labels of both (request_id, label). The features are computed again from the hosts.
+
+    A logged request without a label stops the run, whichever log it is in.
+    """
+    late = labels.select("request_id", "label")
+
+    def ready(rows: DataFrame, *more: str) -> DataFrame:
+        return durable(with_features(rows.select("request_id", "hostname", "probability", "label", *more)))
+
+    reference = ready(reference_log.join(late, "request_id", "left"))
+    if reference.where(F.col("label").isNull()).limit(1).count():
+        raise ValueError("the reference has rows without a label; see label_coverage")
+    return monitor(ready(join_labels(log, late, start), "day"), reference, threshold, **settings)
+
+
+def calibration(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The reliability table of scored, labelled rows, and one row with the Brier score, that of the base
+    rate, and the verdict. One pass over the rows for each of the two aggregates."""
+    table = durable(metrics.reliability_table(scored))
+    verdict = F.broadcast(metrics.calibration_verdict(table))  # one row
+    return table, metrics.brier(scored).join(verdict, F.lit(True))
+
+
 def null_drifting_counts(null_scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Per null slice: how many features pass their own threshold."""
     return drift.drifting_features(null_scores, thresholds, "slice").select("slice", "n_drifting")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hostlens.functions.decision import decision
 from hostlens.functions.lists import BINARY_FEATURES, FEATURES, NUMERIC_FEATURES
 from hostlens.operators.estimation import estimated, low_draws, realized
+from hostlens.operators.prefix import group_sums
 from hostlens.sources.scratch import durable
 
 # Drift and alert settings.
@@ -42,12 +43,10 @@ def value_counts(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def distribution(counts: DataFrame) -> DataFrame:
     """Per (feature, value): share of rows at or below it, and strictly below it."""
-    feature = Window.partitionBy("feature")
-    upto = feature.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    total, cum = F.sum("n").over(feature), F.sum("n").over(upto)
-    return counts.select(
-        "feature", "value", (cum / total).alias("ref_at"),
-        ((cum - F.col("n")) / total).alias("ref_below"),
+    sums = group_sums(counts, ("feature",), "value", ("n",))
+    return sums.select(
+        "feature", "value", (F.col("cum_n") / F.col("all_n")).alias("ref_at"),
+        ((F.col("cum_n") - F.col("n")) / F.col("all_n")).alias("ref_below"),
     )
 
 
@@ -57,10 +56,9 @@ def _max_gap(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
     Between two own values F is constant and F_ref only grows, so the extremes lie at the own
     values and just below them.
     """
-    group = Window.partitionBy(*by, "feature")
-    upto = group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    total, cum = F.sum("n").over(group), F.sum("n").over(upto)
-    gaps = counts.withColumn(
+    sums = group_sums(counts, (*by, "feature"), "value", ("n",))
+    total, cum = F.col("all_n"), F.col("cum_n")
+    gaps = sums.withColumn(
         "gap",
         F.greatest(
             F.abs(cum / total - F.col("ref_at")),

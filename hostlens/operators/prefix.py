@@ -80,6 +80,58 @@ def prefix_sums(
     )
 
 
+def group_sums(
+    counts: DataFrame, by: tuple[str, ...], value: str, sums: tuple[str, ...], nexts: Column | None = None
+) -> DataFrame:
+    """Add `cum_<name>` and `all_<name>` of each sum to one row per (by, value), for any number of groups; with
+    the condition `nexts`, also `next`: the next higher value whose row meets it.
+
+    All groups lie in one order, cut by Spark's range partitioning into even cells: a long group spans
+    several, a cell holds several short ones. Only totals per (group, cell) cross cells. NULL is a group
+    and a lowest value. Where the cells begin never changes a result.
+    """
+    by, earlier_names = list(by), [f"_b_{n}" for n in sums]
+    cells = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Stored, so that a row's cell is decided once.
+    rows = durable(counts.repartitionByRange(cells, *by, value).withColumn("_cell", F.spark_partition_id()))
+    wanted = F.when(nexts if nexts is not None else F.lit(False), F.col(value))
+    totals = rows.groupBy(*by, "_cell").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums], F.min(wanted).alias("_first"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    after = group.orderBy("_cell").rowsBetween(1, Window.unboundedFollowing)
+    totals = totals.select(
+        *by, "_cell",
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(group).alias(f"all_{n}") for n in sums],
+        F.min("_first").over(after).alias("_later"),
+    )
+    cell = Window.partitionBy(*by, "_cell").orderBy(value)
+    upto, rest = cell.rowsBetween(Window.unboundedPreceding, 0), cell.rowsBetween(1, Window.unboundedFollowing)
+    inside = rows.select("*", *[F.sum(n).over(upto).alias(f"_c_{n}") for n in sums], F.min(wanted).over(rest).alias("_next"))
+    joined = null_safe_join(inside, totals, [*by, "_cell"])
+    out = [(F.col(b) + F.col(f"_c_{n}")).alias(f"cum_{n}") for b, n in zip(earlier_names, sums)]
+    following = [] if nexts is None else [F.coalesce("_next", "_later").alias("next")]
+    return joined.select(*counts.columns, *out, *[f"all_{n}" for n in sums], *following)
+
+
+def group_quantiles(counts: DataFrame, by: tuple[str, ...], value: str, n: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles per group of values with counts (by, value, n), between two values by linear
+    interpolation. NULL values have no part."""
+    sums = group_sums(counts.where(F.col(value).isNotNull()), by, value, (n,))
+    total, upto = F.col(f"all_{n}"), F.col(f"cum_{n}")
+
+    def at(index: Column) -> Column:
+        return F.min(F.when(upto > index, F.col(value)))
+
+    out = []
+    for name, q in shares.items():
+        place = (total - 1) * q
+        part = F.max(place - F.floor(place))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out.append((low + (high - low) * part).alias(name))
+    return sums.groupBy(*by).agg(*out)
+
+
 def quantile_higher(df: DataFrame, value: str, q: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Exact quantile that is a data value: 0-based index ceil((n - 1) * q) of the order."""
     sums = prefix_sums(df, value, {"n": F.lit(1)}, by)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from hostlens.functions.lists import FEATURES
 from hostlens.functions.urlshape import safe_ratio
+from hostlens.operators.prefix import group_quantiles
+from hostlens.sources.scratch import durable
 
 
 def _rows() -> Column:
@@ -107,11 +109,20 @@ def describe(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def describe_features(feats: DataFrame) -> DataFrame:
-    """`describe` for every feature, as one long table."""
+    """`describe` for every feature, as one long table; quartiles from counts per value, so that no task
+    holds all values of a feature."""
     long = feats.select(*[F.col(f).cast("double").alias(f) for f in FEATURES]).unpivot(
         [], list(FEATURES), "feature", "value"
     )
-    return describe(long, "value", ("feature",))
+    counts = durable(long.groupBy("feature", "value").agg(_rows().alias("n")))
+    spread = long.groupBy("feature").agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
+    )
+    quartiles = group_quantiles(counts, ("feature",), "value", "n", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return spread.join(F.broadcast(quartiles), "feature", "left").select(  # a row per feature
+        "feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
+    )
 
 
 def histogram(

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostlens.functions.lists import FEATURES
+from hostlens.operators.prefix import group_sums
+from hostlens.sources.scratch import broadcast_if_small, durable
 
 SHORTCUT_AUC = 0.90
 
@@ -25,15 +27,7 @@ def grow_trees(counts: DataFrame, depth: int = 3) -> DataFrame:
     """
     state = counts.withColumn("node", F.lit(1))
     for _ in range(depth):
-        node = Window.partitionBy("feature", "model", "node")
-        upto = node.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        after = node.orderBy("value").rowsBetween(1, Window.unboundedFollowing)
-        state = state.select(
-            "feature", "model", "value", "n", "pos", "node",
-            F.sum("n").over(node).alias("all_n"), F.sum("pos").over(node).alias("all_pos"),
-            F.sum("n").over(upto).alias("cum_n"), F.sum("pos").over(upto).alias("cum_pos"),
-            F.first(F.when(F.col("n") > 0, F.col("value")), ignorenulls=True).over(after).alias("next"),
-        )
+        sums = group_sums(state, ("feature", "model", "node"), "value", ("n", "pos"), nexts=F.col("n") > 0)
         left = _impurity(F.col("cum_n"), F.col("cum_pos"))
         right = _impurity(F.col("all_n") - F.col("cum_n"), F.col("all_pos") - F.col("cum_pos"))
         # A cut lies midway between two neighbouring training values.
@@ -42,7 +36,10 @@ def grow_trees(counts: DataFrame, depth: int = 3) -> DataFrame:
             (F.col("n") > 0) & F.col("next").isNotNull(),
             F.struct(F.round(left + right, 9).alias("impurity"), at),
         )
-        state = state.withColumn("cut", F.min(best).over(node))
+        # One row per node, which many values share: the join keeps them where they are.
+        keys = ["feature", "model", "node"]
+        cuts = sums.groupBy(*keys).agg(F.min(best).alias("cut"))
+        state = sums.join(broadcast_if_small(durable(cuts)), keys)
         mixed = (F.col("all_pos") > 0) & (F.col("all_pos") < F.col("all_n"))
         side = (F.col("value") > F.col("cut.at")).cast("int")
         grown = F.when(mixed & F.col("cut").isNotNull(), F.col("node") * 2 + side)

@@ -13,7 +13,7 @@ from hostlens.llm.common import hex_of, text_or_empty
 SIGNATURES = 32  # a power of two
 TUPLE = 2  # k-mers of a signature
 WORDS = 3  # words of a k-mer
-LONGEST = 16  # a longer word counts as several
+LONGEST = 16  # a longer word, as of writing without blanks, counts as its characters
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -22,7 +22,7 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _kmers(text: Column) -> Column:
-    words = F.regexp_extract_all(text, F.lit(rf"\S{{1,{LONGEST}}}"), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(rf"(?<!\S)\S{{1,{LONGEST}}}(?!\S)|\S"), F.lit(0))
 
     def hashes(w: Column) -> Column:
         n = F.size(w)
@@ -81,7 +81,7 @@ def _least(numbered: Column, bits: int) -> Column:
 def signatures(text: Column, n: int = SIGNATURES) -> Column:
     """Array of n numbers, NULL where no k-mer fell into the bin.
 
-    K-mers (WORDS consecutive words) are numbered by occurrence and hashed; the hash space is cut
+    K-mers (WORDS consecutive words; of a word longer than LONGEST its characters) are numbered by occurrence and hashed; the hash space is cut
     into n bins, in each of which the TUPLE smallest are selected, put in text order, and hashed as a
     tuple. So a signature changes with what a text has and with the order it has it in, and the share
     of equal signatures falls with the edit distance.

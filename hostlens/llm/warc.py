@@ -18,6 +18,9 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed value: base 32
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PER_FILE = 1000  # captures of one archive, at most
+FILE_BYTES = 64 << 20  # payload bytes of one archive, unless one payload is larger
+SIZES = (1 << 16, 1 << 20, 1 << 24)  # payloads from each of these on go to archives of their own
+STEP = 1 << 20  # compressed bytes that a reader takes at a time
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value
 
 
@@ -74,7 +77,8 @@ def write_archives(
 ) -> None:
     """Gzipped WARC files at `path`: a request, a response or revisit, and a metadata record per row.
 
-    A revisit has no payload; it names the response's record and the payload's digest. NULL html is
+    Archives are bounded by captures and by payload bytes: pages of a size class share archives, fewer of
+    them the larger they may be, down to one. A revisit has no payload; it names the response's record and the payload's digest. NULL html is
     an empty payload, a NULL url an empty target.
     """
     planned = plan_records(pages, page_id, url, html, min_bytes)
@@ -109,25 +113,76 @@ def write_archives(
          "Content-Type": F.lit("application/warc-fields")},
         F.concat_ws("", *[F.concat(F.lit(f"{k}: "), v.cast("string"), F.lit(CRLF)) for k, v in fields.items()]),
     )
-    lines = planned.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    lines.write.option("compression", "gzip").option("maxRecordsPerFile", 3 * per_file).text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record, by its Content-Length."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)[1:]
+    found = pages.select(_size_class(F.octet_length(text_or_empty(html))).alias("c")).distinct().collect()
+    present = sorted(r["c"] for r in found) or [0]
+    for i, c in enumerate(present):
+        lines = planned if len(present) == 1 else planned.where(_size_class(F.col("size")) == c)
+        most = min(per_file, max(FILE_BYTES // SIZES[c], 1)) if c < len(SIZES) else 1
+        out = lines.select(F.explode(F.array(request, response, metadata)).alias("value")).write
+        out.mode("append" if i else "errorifexists").option("compression", "gzip").option("maxRecordsPerFile", 3 * most).text(path)
+
+
+def _size_class(size: Column) -> Column:
+    out = F.lit(0)
+    for limit in SIZES:
+        out = out + (size >= limit).cast("int")
+    return out
+
+
+def inflate(data: bytes, step: int = STEP) -> Iterator[bytes]:
+    """The decompressed bytes in pieces of a few `step`, of all gzip members one after the other."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member = zlib.decompressobj(47)
+        while at < len(view) and not member.eof:
+            part = view[at : at + step]
+            out = member.decompress(part, 4 * step)
+            at += len(part) - len(member.unused_data) - len(member.unconsumed_tail)
+            yield out
+        if not member.eof:
+            yield member.flush()
+            if not member.eof:
+                raise ValueError("archive ends inside a gzip member")
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, block) of each record, by its Content-Length; one record is held at a
+    time. An archive that ends inside a record is an error."""
+    held = bytearray()
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0:
+            del held[:-4]
+            if not more():
+                return
+        del held[:at]
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(len(held) - 3, 0)
+            if not more():
+                raise ValueError("archive ends inside a record's headers")
+        lines = held[:end].decode("utf-8", "replace").split(CRLF)[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        begin = end + 4
-        at = begin + int(headers["content-length"])
-        yield headers, data[begin:at]
+        stop = end + 4 + int(headers["content-length"])
+        while len(held) < stop:
+            if not more():
+                raise ValueError("archive ends inside a record")
+        block = bytes(held[end + 4 : stop])
+        del held[:stop]
+        yield headers, block
 
 
 def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """One row per record of all archives at `path`: type, id, concurrent_to, refers_to, url, date,
-    digest as declared, block fields, and of payloads their size and digest as read (and themselves)."""
+    digest as declared, block fields, and of payloads their size and digest as read (and themselves).
+
+    A task holds one compressed archive and one record at a time, whatever the archive's length.
+    """
     arrow_batches(spark, 8)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     schema = (
@@ -136,8 +191,8 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
     )
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def rows(data: bytes) -> Iterator[list]:
-        for h, block in parse(data):
+    def rows(content: bytes) -> Iterator[list]:
+        for h, block in parse(inflate(content)):
             kind = h.get("warc-type")
             http = kind in ("response", "revisit")
             body = block.partition(b"\r\n\r\n")[2] if http else b""
@@ -155,8 +210,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
             for content in part.column("content"):
                 held: list[list] = []
                 size = 0
-                data = zlib.decompress(content.as_py(), 47)
-                for row in rows(data):
+                for row in rows(content.as_py()):
                     held.append(row)
                     size += len(row[-1] or b"") + 500
                     if size > 8 << 20:

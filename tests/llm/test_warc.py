@@ -1,7 +1,9 @@
 """Archives written, read back and assembled."""
 
 import base64
+import gzip
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,7 +56,7 @@ def test_captures_are_nested_and_carry_payloads(spark, pages, tmp_path):
 
 def test_incomplete_transactions():
     data = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n"
-    (headers, block), = warc.parse(data)
+    (headers, block), = warc.parse(iter([data]))
     assert headers["warc-type"] == "response" and block == b"ab\r\nc"
 
 
@@ -66,3 +68,38 @@ def test_assemble_takes_one_record_of_each_kind(spark):
     records = records.withColumn("size", F.lit(1).cast("long")).withColumn("payload", F.lit(None).cast("binary"))
     got = {r["id"]: r for r in warc.assemble(records).collect()}
     assert got["a"]["request"]["record_id"] == "r1" and got["b"]["request"] is None and len(got) == 2
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SIZES", (100, 1000, 10_000))
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    r = random.Random(1)
+    sizes = [0, 5, 99, 100, 999, 1000, 9999, 10_000, 90_000] * 20
+    rows = [(i, f"http://x/{i}", r.randbytes(n).hex()[:n]) for i, n in enumerate(sizes)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    for f in sorted((tmp_path / "w").glob("*.gz")):
+        blocks = [len(b) for h, b in warc.parse(warc.inflate(f.read_bytes(), 64)) if h["warc-type"] == "response"]
+        assert sum(b - 200 for b in blocks) <= 4000 or len(blocks) == 1
+    captures = warc.assemble(warc.read_records(spark, f"file://{tmp_path}/w")).collect()
+    assert sorted(c["response"]["size"] for c in captures if c["response"]["type"] == "response") == sorted(
+        len(html) for html in {html for _, _, html in rows})
+    assert len(captures) == len(rows)
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 20])
+def test_members_one_after_the_other(step):
+    blocks = [b"", b"a" * 100_000, b"WARC/1.1\r\n\r\n", bytes(range(256)) * 50]
+    whole = b"".join(
+        gzip.compress(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % len(b) + b + b"\r\n\r\n") for b in blocks)
+    assert [b for _, b in warc.parse(warc.inflate(whole, step))] == blocks
+    for cut in (len(whole) - 1, len(whole) // 2):
+        with pytest.raises(ValueError):
+            list(warc.parse(warc.inflate(whole[:cut], step)))
+
+
+def test_a_record_that_is_cut_off():
+    data = b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc"
+    for part in (data, data[:20]):
+        with pytest.raises(ValueError):
+            list(warc.parse(iter([part])))

@@ -21,6 +21,7 @@ SLICE = 1 << 21  # q-gram occurrences that are held at a time
 TOGETHER = 128  # alignments that go row by row together
 CELLS = 1 << 22  # texts times items that are counted together
 BREAK = 0x110000  # separates texts; no text holds it
+UNSPACED = 0x2E80  # East Asian writing begins here; it puts no blanks between words
 _BITS = 20
 
 
@@ -134,9 +135,13 @@ def align(
     return out
 
 
-def find(block: Block, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+def find(
+    block: Block, texts: list[np.ndarray], whole: list[tuple[bool, bool]] | None = None
+) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of every region of the texts that is within the edit budget of
-    an item; of regions of one item that overlap, the one with the fewest edits."""
+    an item; of regions of one item that overlap, the one with the fewest edits. An item shorter than a
+    q-gram must match exactly and end where words end. `whole` tells of each text whether its start and
+    end are those of a text, not of a window that was cut out of one."""
     size = np.array([len(t) + 1 for t in texts], np.int64)
     begin = np.cumsum(size) - size
     s = np.full(int(size.sum()) + block.q, BREAK, np.uint32)
@@ -178,10 +183,21 @@ def find(block: Block, texts: list[np.ndarray]) -> list[tuple[int, int, int, int
             same = np.ones(max(len(t) - len(want) + 1, 0), bool)
             for k, c in enumerate(want):
                 same &= t[k : k + len(same)] == c
-            found += [(doc, item, int(d), int(d) + len(want), 0) for d in np.flatnonzero(same)]
+            edges = whole[doc] if whole else (True, True)
+            spans = [(int(d), int(d) + len(want)) for d in np.flatnonzero(same)]
+            found += [(doc, item, a, b, 0) for a, b in spans if _between(t, a, edges[0]) and _between(t, b, edges[1])]
     return _best(found)
 
 
+def _between(t: np.ndarray, at: int, edge: bool) -> bool:
+    """Whether a place lies at a border of words; `edge` answers for the ends, where a cut window cannot tell
+    and the window that overlaps it can."""
+    if at in (0, len(t)):
+        return edge
+    before, after = int(t[at - 1]), int(t[at])
+    return max(before, after) >= UNSPACED or not (chr(before).isalnum() and chr(after).isalnum())
+
+
 def _starts(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
 
@@ -267,7 +283,7 @@ def contamination(
                 for where, windows in _groups(part.column("text").to_pylist(), overlap, len(block.ids)):
                     regions = [
                         (where[w][0], i, s + where[w][1], e + where[w][1], n)
-                        for w, i, s, e, n in find(block, windows)
+                        for w, i, s, e, n in find(block, windows, [x[2] for x in where])
                     ]
                     for row, i, s, e, n in _best(regions):
                         for column, value in zip(kept, (row, block.ids[i], s, e, n)):
@@ -284,8 +300,8 @@ def contamination(
 
 def _groups(
     texts: list[str], overlap: int, items: int
-) -> Iterator[tuple[list[tuple[int, int]], list[np.ndarray]]]:
-    """Texts of a batch, put together up to a window's size; a longer one in overlapping windows, all
+) -> Iterator[tuple[list[tuple[int, int, tuple[bool, bool]]], list[np.ndarray]]]:
+    """(row, place, whether start and end are the text's) and the texts of a batch, put together up to a window's size; a longer one in overlapping windows, all
     in one group so that a region in two windows counts once."""
     where, windows, size = [], [], 0
     step = max(WINDOW, 2 * overlap)
@@ -295,7 +311,7 @@ def _groups(
             yield where, windows
             where, windows, size = [], [], 0
         for begin in range(0, max(len(codes) - overlap, 1), step):
-            where.append((row, begin))
+            where.append((row, begin, (begin == 0, begin + step + overlap >= len(codes))))
             windows.append(codes[begin : begin + step + overlap])
         size += len(codes)
     if windows:
@@ -306,7 +322,8 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
     q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """`docs` without the rows whose text repeats a benchmark text; its columns unchanged."""
+    """`docs` without the rows whose text repeats a benchmark text; its columns unchanged. NULL and empty
+    texts stay, repeated rows go or stay together."""
     spark = docs.sparkSession
     arrow_batches(spark, 8)
     for block in blocks_of(benchmark, item_id, item_text, q, rate, block_chars):
@@ -320,7 +337,7 @@ def _clean(shared, overlap: int):
     def clean(texts: pd.Series) -> pd.Series:
         ok = np.ones(len(texts), bool)
         for where, windows in _groups(texts.tolist(), overlap, len(shared.value.ids)):
-            for w, *_ in find(shared.value, windows):
+            for w, *_ in find(shared.value, windows, [x[2] for x in where]):
                 ok[where[w][0]] = False
         give_back()
         return pd.Series(ok)

@@ -1,6 +1,7 @@
 """Benchmark regions against alignment of every item with every text."""
 
 import random
+import re
 
 import pytest
 
@@ -51,7 +52,10 @@ def test_finds_all_within_the_budget_and_no_more():
         for i, item in enumerate(items):
             budget = int(block.edits[i])
             low = text.lower().replace("\n", " ")
-            assert ((t, i) in pairs) == (least_edits(item, low) <= budget), (t, i)
+            near = least_edits(item, low) <= budget
+            if len(item) < dc.Q:
+                near = re.search(rf"(?<![^\W_]){re.escape(item)}(?![^\W_])", low) is not None
+            assert ((t, i) in pairs) == near, (t, i)
     for t, i, start, end, edits in got:
         assert least_edits(items[i], texts[t].lower().replace("\n", " ")[start:end]) <= edits <= block.edits[i]
 
@@ -84,3 +88,17 @@ def test_documents_and_stage(spark, monkeypatch):
 def test_budget_is_the_lemma(length):
     edits, shared = dc.budget(length)
     assert shared == length - dc.Q + 1 - dc.Q * edits >= 1 and edits <= dc.RATE * length
+
+
+def test_short_items_match_whole_words_only(spark, monkeypatch):
+    monkeypatch.setattr(dc, "WINDOW", 60)
+    benchmark = spark.createDataFrame([(1, "a"), (2, "yes"), (3, "4-2"), (4, "東京都")], "item_id long, text string")
+    texts = ["私は東京都に住む", "alpha beta", "only A there", "yesterday eyes", "oh yes!", "(4-2)", "14-2 4-23", "", None, "say yes"]
+    # At every place of a text that is read in windows.
+    texts += ["x" * k + "yes" + "x" * (400 - k) for k in range(0, 400, 7)]
+    texts += ["x" * k + " yes " + "x" * (400 - k) for k in range(0, 400, 7)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    want = {i for i, t in enumerate(texts) if t and re.search(r"(?<!\w)(?:a|yes|4-2)(?!\w)|東京都", t.lower())}
+    assert {r["doc_id"] for r in dc.contamination(docs, benchmark).collect()} == want
+    kept = {r["doc_id"] for r in dc.drop_contaminated(docs, benchmark).collect()}
+    assert kept == set(range(len(texts))) - want

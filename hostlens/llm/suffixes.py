@@ -151,15 +151,22 @@ def smallest_grams(h: np.ndarray, width: int) -> np.ndarray:
 
 def cut(text: bytes, window: int, gram: int) -> Iterator[tuple[int, int, int]]:
     """(start, windows, key): runs of consecutive windows with the same smallest gram, cut where they are
-    longer than the grams of a window. Equal windows have equal keys, wherever they are."""
+    longer than the grams of a window, or in two if they hold their gram twice. Equal windows have equal
+    keys, wherever they are, and a key with equal windows has two starts."""
     width = window - gram + 1
     whole = np.frombuffer(text, np.uint8)
     for begin in range(0, len(text) - window + 1, SEGMENT):
-        key = smallest_grams(gram_hashes(whole[begin : begin + SEGMENT + window - 1], gram), width)
+        h = gram_hashes(whole[begin : begin + SEGMENT + window - 1], gram)
+        key = smallest_grams(h, width)
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         run = np.diff(np.append(edge, len(key)))
-        parts = -(-run // width)
-        first = np.repeat(edge, parts) + width * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        # Equal windows have their first smallest gram at the same place in them: in a run of such windows that
+        # of the first window lies before the last window.
+        within = np.minimum.reduceat(h, np.stack([edge, edge + run - 1], 1).ravel())[::2]
+        again = (run > 1) & (within == key[edge])
+        parts = np.maximum(-(-run // width), 1 + again)
+        long = np.where(run > width, width, -(-run // parts))
+        first = np.repeat(edge, parts) + np.repeat(long, parts) * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
         n = np.diff(np.append(first, len(key)))
         yield from zip((first + begin).tolist(), n.tolist(), key[first].view(np.int64).tolist())
 

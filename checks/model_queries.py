@@ -58,8 +58,7 @@ GRAMS = """
 
 @query("t1_char_ngrams", oracle(f"SELECT hostname, gram, count(*) AS n FROM ({GRAMS}) GROUP BY ALL", "url_hosts"))
 def t1(spark, sf):
-    grams = fx.hosts(spark, sf).select("hostname", F.explode(F.expr(tr.ngram_sql())).alias("gram"))
-    return grams.groupBy("hostname", "gram").agg(F.count("*").alias("n"))
+    return tr.ngram_counts(fx.hosts(spark, sf))  # distinct hosts
 
 
 @query("t2_ngram_vocabulary", oracle(f"""

@@ -58,6 +58,19 @@ def ngram_sql(host: str = "hostname") -> str:
     return f"flatten(transform(transform({words}, w -> ' ' || w || ' '), w -> concat({', '.join(grams)})))"
 
 
+def ngram_counts(hosts: DataFrame) -> DataFrame:
+    """(hostname, gram, n): how often each row has each of its n-grams. They are counted inside the row, so
+    nothing is shuffled; a host of two rows has its n-grams twice."""
+    rows = computed_once(hosts.select("hostname"), {"_grams": F.expr(ngram_sql())})
+    rows = computed_once(rows, {"_distinct": F.array_distinct("_grams")})
+    once = F.size("_distinct") == F.size("_grams")
+    counted = F.transform("_distinct", lambda g: F.struct(
+        g.alias("gram"),
+        F.when(once, 1).otherwise(F.size("_grams") - F.size(F.array_remove("_grams", g))).cast("bigint").alias("n"),
+    ))
+    return rows.select("hostname", F.inline(counted))
+
+
 def ngram_vocabulary(hosts: DataFrame, min_df: int = MIN_DF, max_ngrams: int = MAX_NGRAMS) -> DataFrame:
     """(gram, n, df, weight) of the n-grams that at least `min_df` rows have: the `max_ngrams` most frequent,
     ties by text. Weight: smooth inverse document frequency plus one, so an n-gram of every row counts.

@@ -100,3 +100,23 @@ def test_rich_columns_and_one_class(spark):
     models = bo.fit_all(df.where("label = 0"), [bo.Fit("one", COLUMNS), bo.Fit("none", COLUMNS, 0)], 2, 2, 0.1)
     assert len(set(scores(models["one"], df).values())) == 1
     assert set(scores(models["none"], df).values()) == {0.5}
+
+
+def test_rows_are_packed_by_the_columns_of_a_fit(spark, monkeypatch):
+    """A fit over one column has a row per bin, label and fold, whatever columns the other fits have."""
+    packed = []
+
+    def stored(df):
+        out = durable(df)
+        if "bins" in out.columns:
+            packed.append(out)
+        return out
+
+    durable = bo.durable
+    monkeypatch.setattr(bo, "durable", stored)
+    df = spark.range(2000).select(
+        F.sqrt("id").alias("a"), (F.col("id") % 3).alias("b"), (F.col("id") % 2).alias("label"), (F.col("id") % 5).alias("fold"))
+    models = bo.fit_all(df, [bo.Fit("both", ("a", "b")), bo.Fit("b", ("b",)), bo.Fit("b 1", ("b",), 1)], 2, 2, 0.1)
+    assert set(models) == {"both", "b", "b 1"} and models["b"].columns == ("b",)
+    assert min(p.count() for p in packed) <= 3 * 2 * 5
+    assert all(p.agg(F.sum("weight")).first()[0] == 2000 for p in packed)

@@ -103,3 +103,20 @@ def test_no_python_and_no_shuffle(spark):
         assert not any(x in text for x in ("Python", "Arrow", "Exchange", "Join"))
     stream = spark.readStream.format("rate").load().selectExpr("CAST(value AS STRING) AS hostname")
     assert "Python" not in model.score(stream)._jdf.queryExecution().analyzed().toString()
+
+
+def test_no_work_over_the_whole_vocabulary_per_ngram(spark):
+    """A slice of one constant array of all n-grams goes over its length, for each n-gram of each row."""
+    model = trained(spark)
+    df = spark.createDataFrame([("a.b",)], "hostname string")
+    for plan in (model.score(df), model.units(df)):
+        assert "slice(" not in plan._jdf.queryExecution().analyzed().toString()
+
+
+def test_stored_units_are_the_vectors(spark, tmp_path):
+    model = trained(spark)
+    df = frame(spark, [*hosts(50, 3), ""])
+    model.units(df).write.parquet(str(tmp_path / "u"))
+    vectors = model.vectors(df)
+    stored = spark.read.schema(vectors.schema).parquet(str(tmp_path / "u"))
+    assert sorted(map(str, stored.collect())) == sorted(map(str, vectors.collect()))

@@ -120,3 +120,22 @@ def test_stored_units_are_the_vectors(spark, tmp_path):
     vectors = model.vectors(df)
     stored = spark.read.schema(vectors.schema).parquet(str(tmp_path / "u"))
     assert sorted(map(str, stored.collect())) == sorted(map(str, vectors.collect()))
+
+
+def test_lookups_leave_no_array_by_an_exception(spark):
+    """`array_position` and `array_contains` end a search that finds something by an exception, for each n-gram."""
+    model = trained(spark)
+    df = spark.createDataFrame([("a.b",)], "hostname string")
+    for plan in (model.score(df), model.units(df), tr.ngram_vocabulary(df, 1)):
+        text = plan._jdf.queryExecution().analyzed().toString()
+        assert "array_position" not in text and "array_contains" not in text
+
+
+def test_few_rows_are_one_task_of_a_regression_step(spark, monkeypatch):
+    """A step of a fit is a job of its own, so few rows must not be dealt to many tasks."""
+    seen = []
+    plain = tr.LogisticRegression.fit
+    monkeypatch.setattr(tr.LogisticRegression, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or plain(self, df))
+    rows = [(h, i % 2) for i, h in enumerate(hosts(120, 5))]
+    tr.fit_ngram(spark.createDataFrame(rows, "hostname string, label int").repartition(7), iterations=3)
+    assert seen == [1]

@@ -24,22 +24,22 @@ from hostlens.sources.scratch import durable
 WINDOW = 200
 GRAM = 32
 CROWDED = 400  # distinct pieces of one gram that a task takes; more are cut finer
-TASK_BYTES = 1 << 17  # pieces of one construction: its arrays fit a core's cache
+TASK_BYTES = 1 << 19  # pieces of one construction: a round's few calls weigh little, its short list fits a core's cache
+ROUNDS = 32  # of the construction between two times that its whole list is rewritten
 SEGMENT = 1 << 20  # windows of a long text at a time
 NARROWER = 4
 PIECE = ("key", "h1", "h2")
 
 
 # ------------------------------------------------------------- construction of a task
-def repeated_windows(pieces: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
+def repeated_windows(pieces: list[bytes], window: int = WINDOW, rounds: int = ROUNDS) -> list[np.ndarray]:
     """For each piece, whether the window at each of its starts occurs elsewhere in the pieces.
 
-    The list of suffixes is kept as two arrays, rewritten in sequence every round: `order`, in which a
-    suffix is its first symbol and the place of the rest of it (so the symbol before the suffix at place
-    p stands where its entry names p), and `common`, its common prefix with the one before, up to
-    `window`. Round j inserts the suffix of length j of every piece: its place follows from its symbol
-    and the place of the suffix of length j - 1, its common prefixes from the smallest one between the
-    rests of the neighbours.
+    The list of suffixes is kept as two arrays: `order`, in which a suffix is its first symbol and the place of
+    the rest of it (so the symbol before the suffix at place p stands where its entry names p), and `common`, its
+    common prefix with the one before, up to `window`. Round j inserts the suffix of length j of every piece: its
+    place follows from its symbol and the place of the suffix of length j - 1, its common prefixes from the
+    smallest one between the rests of the neighbours. The list is rewritten in sequence once in `rounds` rounds.
     """
     size = np.array([len(p) for p in pieces], np.int64)
     text = np.frombuffer(b"".join(pieces), np.uint8)
@@ -49,38 +49,14 @@ def repeated_windows(pieces: list[bytes], window: int = WINDOW) -> list[np.ndarr
     order = np.arange(len(pieces), dtype=np.int64)  # ends of pieces, all different, come first
     common = np.zeros(len(pieces) + 1, np.uint8 if window < 255 else np.uint32)
     place = order.copy()
-    for j in range(1, int(size.max(initial=0)) + 1):
-        of = np.flatnonzero(size >= j)
-        new = ((text[end[of] - j].astype(np.int64) + 1) << shift) | place[of]
-        by = np.argsort(new)
-        new, of = new[by], of[by]
-        at = np.searchsorted(order, new)
-        symbol, rest = new >> shift, new & low
-        # The neighbour before: a suffix of the list, or one inserted just before this one.
-        before = order[at - 1]
-        left = np.where(before >> shift == symbol, before & low, -1)
-        left[1:] = np.where(symbol[1:] == symbol[:-1], np.maximum(left[1:], rest[:-1]), left[1:])
-        last = np.flatnonzero(np.append(at[1:] != at[:-1], True))  # of those inserted at the same place
-        last = last[at[last] < len(order)]
-        after = order[at[last]]
-        same = after >> shift == symbol[last]
-        last, after = last[same], after[same] & low
-        old = np.flatnonzero(left >= 0)
-        shared = _smallest(common, np.append(left[old], rest[last]), np.append(rest[old], after))
-        shared = np.minimum(shared.astype(np.int64) + 1, window).astype(common.dtype)
-        prefix = np.zeros(len(new), common.dtype)
-        prefix[old] = shared[: len(old)]
-        common[at[last]] = shared[len(old) :]
-        # The places of old suffixes move up by the number of new ones at or before them.
-        slots = at + np.arange(len(at))
-        moved = np.repeat(np.arange(len(at) + 1), np.diff(at, prepend=0, append=len(order) + 1))
-        order += moved[order & low]
-        place += moved[place]
-        place[of] = slots
-        stays = np.ones(len(order) + len(at), bool)
-        stays[slots] = False
-        order = _merged(order, stays, slots, (symbol << shift) | (rest + moved[rest]))
-        common = np.append(_merged(common[:-1], stays, slots, prefix), common.dtype.type(0))
+    rounds = max(min(rounds, (1 << max(54 - shift, 0)) // (len(pieces) + 1) - 1), 1)  # keys have 63 bits
+    longest = int(size.max(initial=0))
+    for begin in range(1, longest + 1, rounds):
+        columns = []
+        for j in range(begin, min(begin + rounds, longest + 1)):
+            of = np.flatnonzero(size >= j)
+            columns.append((of, text[end[of] - j].astype(np.int64) + 1))
+        order, common, place = _inserted(order, common, place, columns, shift, window)
     whole = common >= window
     hit = whole[:-1] | whole[1:]
     starts = np.maximum(size - window + 1, 0)
@@ -95,6 +71,109 @@ def repeated_windows(pieces: list[bytes], window: int = WINDOW) -> list[np.ndarr
     return out
 
 
+def _inserted(
+    order: np.ndarray, common: np.ndarray, place: np.ndarray, columns: list[tuple[np.ndarray, np.ndarray]], shift: int,
+    window: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The list after some rounds, each the pieces that go on and their next symbols; `place` is that of the longest
+    suffix of each piece.
+
+    The suffixes of these rounds are a short list of their own, in order, and only that is rewritten in a round.
+    Each knows the gap of the long list that it lies in, and its common prefixes with both sides of the gap. Its key
+    is its symbol, the gap of the rest of it, and the place of that in the short list; a rest in the long list
+    comes after all of the short list in its gap.
+    """
+    size, low = len(order), (1 << shift) - 1
+    total = sum(len(of) for of, _ in columns)
+    bits = int(total + 1).bit_length()
+    far = (1 << bits) - 1
+    # The longest suffix of each piece: its gap, its place in the short list, and its number in `gaps`, `lefts`, `rights`.
+    gap_of, at_of, number = place.copy(), np.full(len(place), far), np.full(len(place), -1)
+    left_of, right_of = common[place], np.full(len(place), window, common.dtype)
+    gaps, lefts, rights = np.empty(total, np.int64), np.empty(total, common.dtype), np.empty(total, common.dtype)
+    key, numbers, among = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, common.dtype)
+    done = 0
+    for of, symbol in columns:
+        new = (((symbol << shift) | gap_of[of]) << bits) | at_of[of]
+        by = np.argsort(new)
+        new, of, symbol = new[by], of[by], symbol[by]
+        rest, mine = gap_of[of], at_of[of]
+        left, right = left_of[of], right_of[of]
+        gap, at = np.searchsorted(order, new >> bits), np.searchsorted(key, new)
+        # Neighbours with the same first symbol: in the long list before and after, in the short list before, and after
+        # the last of those inserted at one place.
+        before, after = order[gap - 1], order[np.minimum(gap, size - 1)]
+        lower = np.flatnonzero(before >> shift == symbol)
+        upper = np.flatnonzero((after >> shift == symbol) & (gap < size))
+        previous = np.append(0, key)[at]
+        together = at[1:] == at[:-1]
+        previous[1:] = np.where(together, new[:-1], previous[1:])
+        near = np.flatnonzero(previous >> bits + shift == symbol)
+        last = np.flatnonzero(np.append(~together, True))
+        following = np.append(key, 0)[at[last]]
+        same = following >> bits + shift == symbol[last]
+        last, following = last[same], following[same]
+        previous = previous[near]
+        p_at, f_at = previous & far, following & far
+        p_far, f_far = p_at == far, f_at == far
+        p_long, f_long = near[p_far], last[f_far]
+        # Between a rest in the long list and one in a gap lie the entries up to the gap, and then its own prefix.
+        inside = mine[p_long] == far
+        shared = _smallest(
+            common,
+            np.concatenate([(before[lower] & low) + 1, rest[upper] + 1, (previous[p_far] >> bits & low) + 1, rest[f_long] + 1]),
+            np.concatenate([rest[lower], (after[upper] & low) + 1, rest[p_long] + inside, (following[f_far] >> bits & low) + 1]),
+            np.concatenate([left[lower], right[upper], np.where(inside, common.dtype.type(window), left[p_long]), right[f_long]]),
+        )
+        n_lower, n_upper, n_long = len(lower), len(lower) + len(upper), len(lower) + len(upper) + len(p_long)
+        p_short, f_short = near[~p_far], last[~f_far]
+        short = _smallest(
+            among, np.append(p_at[~p_far], mine[f_short]) + 1, np.append(mine[p_short], f_at[~f_far]) + 1,
+            np.full(len(p_short) + len(f_short), window, common.dtype),
+        )
+        left, right, prefix = np.zeros((3, len(new)), common.dtype)
+        left[lower], right[upper] = _longer(shared[:n_lower], window), _longer(shared[n_lower:n_upper], window)
+        prefix[p_long], prefix[p_short] = _longer(shared[n_upper:n_long], window), _longer(short[: len(p_short)], window)
+        among[at[f_long]] = _longer(shared[n_long:], window)
+        among[at[f_short]] = _longer(short[len(p_short) :], window)
+        # The places of the short list move up by the number of new ones at or before them.
+        slots = at + np.arange(len(at))
+        moved = np.repeat(np.arange(len(at) + 1), np.diff(at, prepend=0, append=len(key) + 1))
+        moved[-1] = 0  # rests in the long list stay
+        new += moved[np.minimum(mine, len(key))]
+        key += moved[np.minimum(key & far, len(key))]
+        stays = np.ones(len(key) + len(at), bool)
+        stays[slots] = False
+        those = np.arange(done, done + len(at))
+        key, numbers = _merged(key, stays, slots, new), _merged(numbers, stays, slots, those)
+        among = np.append(_merged(among[:-1], stays, slots, prefix), common.dtype.type(0))
+        gaps[those], lefts[those], rights[those] = gap, left, right
+        gap_of[of], at_of[of], number[of], left_of[of], right_of[of] = gap, slots, those, left, right
+        done += len(at)
+    gap = gaps[numbers]
+    slots = gap + np.arange(total)
+    moved = np.repeat(np.arange(total + 1), np.diff(gap, prepend=0, append=size + 1))
+    at, rest = key & far, key >> bits & low
+    rest = np.where(at == far, rest + moved[rest], slots[np.minimum(at, total - 1)])
+    apart = gap[1:] != gap[:-1]
+    prefix = np.where(np.append(True, apart), lefts[numbers], among[:-1])
+    last = np.append(apart, True)
+    common[gap[last]] = rights[numbers[last]]
+    order += moved[order & low]
+    now = np.empty(total, np.int64)
+    now[numbers] = slots
+    place = np.where(number < 0, place + moved[place], now[number])
+    stays = np.ones(size + total, bool)
+    stays[slots] = False
+    order = _merged(order, stays, slots, (key >> bits + shift << shift) | rest)
+    return order, np.append(_merged(common[:-1], stays, slots, prefix), common.dtype.type(0)), place
+
+
+def _longer(common: np.ndarray, window: int) -> np.ndarray:
+    """One symbol more than the rests have in common, up to the window."""
+    return np.minimum(common, window - 1) + common.dtype.type(1)
+
+
 def _merged(old: np.ndarray, stays: np.ndarray, slots: np.ndarray, new: np.ndarray) -> np.ndarray:
     out = np.empty(len(stays), old.dtype)
     out[stays] = old
@@ -102,16 +181,16 @@ def _merged(old: np.ndarray, stays: np.ndarray, slots: np.ndarray, new: np.ndarr
     return out
 
 
-def _smallest(common: np.ndarray, after: np.ndarray, upto: np.ndarray) -> np.ndarray:
-    """The smallest of common[after + 1 : upto + 1] for each pair."""
-    if not len(after):
+def _smallest(common: np.ndarray, begin: np.ndarray, end: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The smallest of common[begin:end] and `most`, for each."""
+    if not len(begin):
         return common[:0]
-    by = np.argsort(-after)  # later ranges first: what lies between two ranges is not walked
+    by = np.argsort(-begin)  # later ranges first: what lies between two ranges is not walked
     pairs = np.empty(2 * len(by), np.int64)
-    pairs[::2], pairs[1::2] = after[by] + 1, upto[by] + 1
+    pairs[::2], pairs[1::2] = begin[by], end[by]
     out = np.empty(len(by), common.dtype)
     out[by] = np.minimum.reduceat(common, pairs)[::2]
-    return out
+    return np.where(begin < end, np.minimum(out, most), most)
 
 
 # -------------------------------------------------------------------------- anchors
@@ -153,6 +232,12 @@ def cut(text: bytes, window: int, gram: int) -> Iterator[tuple[int, int, int]]:
     """(start, windows, key): runs of consecutive windows with the same smallest gram, cut where they are
     longer than the grams of a window, or in two if they hold their gram twice. Equal windows have equal
     keys, wherever they are, and a key with equal windows has two starts."""
+    for columns in cuts(text, window, gram):
+        yield from zip(*(c.tolist() for c in columns))
+
+
+def cuts(text: bytes, window: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The columns of `cut`, a segment of the text at a time."""
     width = window - gram + 1
     whole = np.frombuffer(text, np.uint8)
     for begin in range(0, len(text) - window + 1, SEGMENT):
@@ -168,7 +253,7 @@ def cut(text: bytes, window: int, gram: int) -> Iterator[tuple[int, int, int]]:
         long = np.where(run > width, width, -(-run // parts))
         first = np.repeat(edge, parts) + np.repeat(long, parts) * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
         n = np.diff(np.append(first, len(key)))
-        yield from zip((first + begin).tolist(), n.tolist(), key[first].view(np.int64).tolist())
+        yield first + begin, n, key[first].view(np.int64)
 
 
 def finer(piece: bytes, key: int, step: int, window: int, gram: int) -> Iterator[tuple[int, int, int]]:
@@ -233,15 +318,19 @@ def _references(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            out = []
-            for chunk, row, t1, t2, text in zip(*(part.column(c) for c in ("chunk", "row", "t1", "t2", "text"))):
-                of = (chunk.as_py(), row.as_py(), t1.as_py(), t2.as_py())
-                whole = text.as_py()
-                out += [
-                    (*of, start, n, key, *_name(whole[start : start + n - 1 + window]))
-                    for start, n, key in cut(whole, window, gram)
-                ]
-            yield _table(out, names, [pa.int64()] * len(names))
+            found, hashes, pieces = [], [], []
+            for text in part.column("text"):
+                whole, count = text.as_py(), 0
+                for columns in cuts(whole, window, gram):
+                    found.append(columns)
+                    ends = columns[0] + columns[1] - 1 + window
+                    hashes += [xxhash.xxh3_128_digest(whole[a:b]) for a, b in zip(columns[0].tolist(), ends.tolist())]
+                    count += len(ends)
+                pieces.append(count)
+            of = [np.repeat(part.column(c).to_numpy(), np.array(pieces, np.int64)) for c in ("chunk", "row", "t1", "t2")]
+            runs = [np.concatenate(c) for c in zip(*found)] or [np.empty(0, np.int64)] * 3
+            both = np.frombuffer(b"".join(hashes), ">i8").reshape(-1, 2).astype(np.int64)  # as `_name`
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*of, *runs, *both.T)], names)
             give_back()
 
     found = rows.where(F.col("size") >= window).select("chunk", "row", "t1", "t2", "text").mapInArrow(

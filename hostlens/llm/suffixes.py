@@ -60,15 +60,14 @@ def repeated_windows(pieces: list[bytes], window: int = WINDOW, rounds: int = RO
     whole = common >= window
     hit = whole[:-1] | whole[1:]
     starts = np.maximum(size - window + 1, 0)
-    out = [np.zeros(n, bool) for n in starts]
+    first = np.cumsum(starts) - starts
+    out = np.zeros(int(starts.sum()), bool)
     left = np.flatnonzero(starts > 0)
     for i in range(int(starts.max(initial=0))):  # from each suffix to the rest of it
         left = left[starts[left] > i]
-        for k, x in zip(left.tolist(), hit[place[left]].tolist()):
-            if x:
-                out[k][i] = True
+        out[first[left] + i] = hit[place[left]]
         place[left] = order[place[left]] & low
-    return out
+    return [out[i : i + n] for i, n in zip(first.tolist(), starts.tolist())]
 
 
 def _inserted(
@@ -374,9 +373,11 @@ def _runs(pieces: DataFrame, window: int, task_bytes: int) -> DataFrame:
         found = []
         names = [table.column(c).to_pylist() for c in (*PIECE, "n", "piece")]
         for key, h1, h2, n, hit in zip(*names[:4], repeated_windows(names[4], window)):
-            hit = np.ones(len(hit), bool) if n > 1 else hit
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-            found += [(key, h1, h2, b, e) for b, e in zip(edge[::2].tolist(), edge[1::2].tolist())]
+            if n > 1 and len(hit):
+                found.append((key, h1, h2, 0, len(hit)))
+            elif hit.any():
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+                found += [(key, h1, h2, b, e) for b, e in zip(edge[::2].tolist(), edge[1::2].tolist())]
         give_back()
         return pa.Table.from_batches([_table(found, [*PIECE, "begin", "stop"], [pa.int64()] * 5)])
 
